@@ -78,14 +78,15 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, hashes: bool = True, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, hashes: bool = True, lower: bool = True, delimiters: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """Start, end and hash of each word, and the index of each row's first word (one more than rows).
 
     The hash is a polynomial of byte values modulo 2^64, from running sums kept
-    block by block, so a word may be of any length.
+    block by block, so a word may be of any length.  ``delimiters`` marks the
+    byte values that end a word.
     """
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~delimiters[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]

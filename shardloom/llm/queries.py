@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shardloom.llm._spark import table
+from shardloom.llm.balltree import exact_top_k, integer_vectors
 from shardloom.llm.mixing import mix_sources
+from shardloom.llm.quality import fit_quality, score_quality
+from shardloom.llm.toxicity import fit_toxicity, score_toxicity
 from shardloom.llm.warc import warc_round_trip
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of the id as text, modulo a number."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, severity (expected grade), grade, toxic; a fifth of the labels is left out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), train_rows=fold(5) != 0)
+    return score_toxicity(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -17,7 +33,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op7_warc": op7_warc}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return exact_top_k(points, F.col("id") % 20 == 0, 20)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), train_rows=fold(5) != 0)
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_mix_sources": op3_mix_sources,
+    "op7_warc": op7_warc,
+    "op8_topk": op8_topk,
+    "op10_quality": op10_quality,
+}
 
 ORACLES = {
     "op7_warc": """
@@ -28,5 +62,16 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN f.n > 1 AND d.page_id IS DISTINCT FROM f.first_page AND f.first_page IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.n > 1 AND d.page_id IS DISTINCT FROM f.first_page THEN f.first_page END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+""",
+    "op8_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+WHERE rank <= 20
 """,
 }
