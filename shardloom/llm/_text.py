@@ -127,6 +127,11 @@ def words(data: np.ndarray, offsets: np.ndarray, hashes: bool = True, lower: boo
     return starts, ends, mix(value), rows
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII letters in lower case."""
+    return _LOWER[data]
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``k`` words within a row, and each row's first one.
 

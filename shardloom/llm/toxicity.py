@@ -2,8 +2,11 @@
 
 P(grade > k) = sigmoid(x.w - threshold_k): all thresholds share the weights w,
 and the thresholds stay in order.  The score is the expected severity, the
-sum over k of P(grade > k).  x marks which hashed words a text has (runs of
-letters and digits, ASCII letters lower-cased), at any place of the whole text.
+sum over k of P(grade > k).  x marks which words a text has (runs of letters
+and digits, ASCII letters lower-cased) and which beginnings of words of 4 to 6
+bytes, so inflected and compounded forms count, at any place of the whole text.
+Features are 32-bit hashes; only those whose odds differ between toxic and other
+training rows get a weight.
 
 Training is on the driver, by proximal gradient steps in numpy (an L1 penalty
 keeps the weights sparse), on a bounded, documented sample of labelled rows
@@ -28,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from shardloom.llm._spark import ship
-from shardloom.llm._text import U64, distinct, pieces, words
+from shardloom.llm._text import U64, distinct, lowered, mix, pieces, words
 from shardloom.llm.quality import labelled_sample, row_sums
 
-BITS = 20
-MAX_ROWS = 4000
-#: Words in fewer training rows carry no weight.
-LEAST_ROWS = 4
+MAX_ROWS = 2500
+#: Features in fewer training rows, or with odds closer to even than this, carry no weight.
+LEAST_ROWS, LEAST_ODDS = 4, 1.0
+PREFIXES = (4, 5, 6)
 _DELIMITERS = np.zeros(256, bool)
 _DELIMITERS[:128] = True
 _DELIMITERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -42,53 +45,68 @@ _DELIMITERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 @dataclass(frozen=True)
 class OrdinalModel:
+    keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) of each score, by k."""
-        return 1 / (1 + np.exp(-(score[:, None] - self.thresholds[None, :])))
+        return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, _, h, rows = words(data, offsets, delimiters=_DELIMITERS)
-    return (h >> U64(64 - BITS)).astype(np.int64), rows
+def word_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """32-bit features and the row of each: words, then their beginnings."""
+    starts, ends, h, rows = words(data, offsets, delimiters=_DELIMITERS)
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    out = [((h >> U64(32)).astype(np.uint32), owner)]
+    length, value, small = ends - starts, np.zeros(len(starts), U64), lowered(data)
+    for size in range(1, PREFIXES[-1] + 1):
+        longer = length >= size
+        starts, length, value, owner = starts[longer], length[longer], value[longer], owner[longer]
+        value = value << U64(8) | small[starts + size - 1].astype(U64)
+        if size in PREFIXES:
+            out.append(((mix(value + U64(size << 56)) >> U64(32)).astype(np.uint32), owner))
+    return out
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in pieces(batches, "text", 1 << 20):
-        index, rows = distinct(*word_features(data, offsets))
-        index = index.astype(np.int32)
+        index, owner = (np.concatenate(x) for x in zip(*word_features(data, offsets), strict=True))
+        order = np.argsort(owner, kind="stable")
+        index, rows = distinct(index[order], np.searchsorted(owner[order], np.arange(part.num_rows + 1)))
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array([index[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)], pa.binary())], ["label", "index"])
 
 
-def grade(index: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Severity grades from labels of 0 and 1."""
+def screen(index: np.ndarray, rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features worth a weight: their keys, odds, and what is left of the rows as positions among the keys."""
+    keys, at = np.unique(index, return_inverse=True)
     toxic = label > 0
     owner = np.repeat(np.arange(len(label)), np.diff(rows))
-    inside = np.bincount(index[toxic[owner]], minlength=1 << BITS)
-    outside = np.bincount(index[~toxic[owner]], minlength=1 << BITS)
+    inside = np.bincount(at[toxic[owner]], minlength=len(keys))
+    outside = np.bincount(at[~toxic[owner]], minlength=len(keys))
     odds = np.log((inside + 0.5) / (toxic.sum() + 1)) - np.log((outside + 0.5) / ((~toxic).sum() + 1))
-    marks = row_sums(((odds > 2) & (inside >= LEAST_ROWS)).astype(float)[index], rows)
+    kept = (inside + outside >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS)
+    place = np.cumsum(kept) - 1
+    live = kept[at]
+    return keys[kept], odds[kept], place[at[live]], np.searchsorted(owner[live], np.arange(len(label) + 1))
+
+
+def grade(odds: np.ndarray, at: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Severity grades from labels of 0 and 1."""
+    toxic = label > 0
+    marks = row_sums((odds > 2).astype(float)[at], rows)
     return np.where(toxic, 1 + (marks > np.median(marks[toxic])), 0)
 
 
-def fit_ordinal(index: np.ndarray, rows: np.ndarray, grades: np.ndarray, penalty: float = 2e-4, steps: int = 200, rate: float = 0.5) -> OrdinalModel:
-    """Weights and ordered thresholds for grades 0..K of sparse binary rows."""
+def fit_ordinal(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, grades: np.ndarray, penalty: float = 3e-4, steps: int = 200, rate: float = 0.3) -> OrdinalModel:
+    """Weights and ordered thresholds for grades 0..K of sparse binary rows, given as positions among the keys."""
     top = int(grades.max(initial=0))
     if top == 0 or not (grades == 0).any():
-        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(1, np.inf if top == 0 else -np.inf))
-    used = np.flatnonzero(np.bincount(index, minlength=1 << BITS) >= LEAST_ROWS)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    at = place[index]
-    owner = np.repeat(np.arange(len(grades)), np.diff(rows))[at >= 0]
-    at = at[at >= 0]
-    rows = np.searchsorted(owner, np.arange(len(grades) + 1))
-    n, w, past = len(grades), np.zeros(len(used)), np.full(len(used), 1e-8)
-    share = np.array([(grades > k).mean() for k in range(top)])
-    theta = -np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
-    moved = np.full(top, 1e-8)
+        return OrdinalModel(keys[:0], np.zeros(0), np.full(1, np.inf if top == 0 else -np.inf))
+    owner = np.repeat(np.arange(len(grades)), np.diff(rows))
+    n, w, past = len(grades), np.zeros(len(keys)), np.full(len(keys), 1e-8)
+    share = np.clip([(grades > k).mean() for k in range(top)], 1e-4, 1 - 1e-4)
+    theta, moved = np.log((1 - share) / share), np.full(top, 1e-8)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for _ in range(steps):
         s = row_sums(w[at], rows)
@@ -97,7 +115,7 @@ def fit_ordinal(index: np.ndarray, rows: np.ndarray, grades: np.ndarray, penalty
         upper, lower = np.where(grades == top, 1.0, upper), np.where(grades == 0, 0.0, lower)
         p = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        g = np.bincount(at, weights=(du - dl)[owner], minlength=len(used)) / n
+        g = np.bincount(at, weights=(du - dl)[owner], minlength=len(keys)) / n
         past += g * g
         pace = rate / np.sqrt(past)
         w -= pace * g
@@ -105,44 +123,40 @@ def fit_ordinal(index: np.ndarray, rows: np.ndarray, grades: np.ndarray, penalty
         gt = np.array([-du[grades == k].sum() + dl[grades == k + 1].sum() for k in range(top)]) / n
         moved += gt * gt
         theta -= rate / np.sqrt(moved) * gt
-        theta = np.maximum.accumulate(theta + 1e-3 * np.arange(top)) - 1e-3 * np.arange(top)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w
-    return OrdinalModel(weights, theta)
+        theta = np.maximum.accumulate(theta - 1e-3 * np.arange(top)) + 1e-3 * np.arange(top)
+    return OrdinalModel(keys[w != 0], w[w != 0], theta)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows: Column | None = None, max_rows: int = MAX_ROWS) -> OrdinalModel:
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if train_rows is None else train_rows, max_rows, per_label=True)
     got = sample.mapInArrow(_gather, "label int, index binary").toArrow().sort_by([("label", "ascending"), ("index", "ascending")])
-    parts = [np.frombuffer(x, np.int32) for x in got["index"].to_pylist()]
-    index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    parts = [np.frombuffer(x, np.uint32) for x in got["index"].to_pylist()]
+    index = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     rows = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     label = np.maximum(got["label"].to_numpy(), 0).astype(int)
-    grades = grade(index, rows, label) if label.max(initial=0) == 1 and (label == 0).any() else label
-    return fit_ordinal(index, rows, grades)
+    keys, odds, at, rows = screen(index, rows, label)
+    grades = grade(odds, at, rows, label) if label.max(initial=0) == 1 and (label == 0).any() else label
+    return fit_ordinal(keys, at, rows, grades)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5, names: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
     """The documents with expected severity, likeliest grade, and whether P(grade > 0) is at least ``reject_at``."""
     spark = docs.sparkSession
     ship(spark)
-    used = np.flatnonzero(model.weights)
-    # as many weights as the hash has buckets at most (4 MB)
-    shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))
+    # no more weights than there are features in the bounded training sample
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, values, thresholds = shared.value
-        weights = np.zeros(1 << BITS)
-        weights[used] = values
-        live = weights != 0
-        fitted = OrdinalModel(weights, thresholds)
+        fitted = shared.value
+        order = np.argsort(fitted.keys)
+        keys, values = fitted.keys[order], fitted.weights[order]
+        likely = np.zeros(1 << 20, bool)
+        likely[keys >> np.uint32(12)] = True
         for part, data, offsets in pieces(batches, text_col):
-            index, rows = word_features(data, offsets)
-            keep = live[index]
-            kept = np.concatenate([[0], np.cumsum(keep)])[rows]
-            index, rows = distinct(index[keep], kept)
-            above = fitted.above(row_sums(weights[index], rows))
+            hits = [np.stack([owner[keep], np.searchsorted(keys, index[keep])]) for index, owner in word_features(data, offsets) for keep in [np.flatnonzero(likely[index >> np.uint32(12)])] for keep in [keep[np.isin(index[keep], keys)]]]
+            owner, at = np.unique(np.concatenate(hits, axis=1), axis=1)
+            above = fitted.above(np.bincount(owner, weights=values[at], minlength=part.num_rows))
             chance = -np.diff(above, axis=1, prepend=1.0, append=0.0)
             columns = [pa.array(above.sum(1)), pa.array(chance.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= reject_at)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
