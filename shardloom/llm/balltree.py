@@ -145,9 +145,9 @@ def exact_top_k(points: DataFrame, asks: Column, k: int = 20, shard_rows: int =
         found = staged(found, "ball-home")
         reached = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
         asking = base.where("asks").join(reached, F.col("id") == F.col("query_id"), "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
-        asking = asking.withColumn("shard", F.explode(others).cast("long")).select("dim", "shard", "block", "id", "v", "asks", "kth")
-        stored = own.withColumns({"asks": F.lit(False), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")}).select(*asking.columns)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("shard"))
+        asking = asking.withColumn("shard", F.explode(others)).select("dim", "shard", "block", "id", "v", "asks", "kth")
+        stored = own.withColumns({"asks": F.lit(False), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))}).select(*asking.columns)
         found = found.unionByName(stored.unionByName(asking).groupBy("dim", "shard", "block").applyInArrow(_search(k, leaf, False), FOUND))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
