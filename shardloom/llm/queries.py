@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shardloom.llm._spark import table
 from shardloom.llm.balltree import exact_top_k, integer_vectors
 from shardloom.llm.mixing import mix_sources
+from shardloom.llm.ngramjoin import ngram_components
 from shardloom.llm.quality import fit_quality, score_quality
 from shardloom.llm.toxicity import fit_toxicity, score_toxicity
 from shardloom.llm.warc import warc_round_trip
@@ -29,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_components(docs, 4, 85, 100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,6 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_join": op4_ngram_join,
     "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op10_quality": op10_quality,
