@@ -10,6 +10,7 @@ from shardloom.llm.balltree import exact_top_k, integer_vectors
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.ngramjoin import ngram_components
 from shardloom.llm.quality import fit_quality, score_quality
+from shardloom.llm.suffixdedup import substring_dedup
 from shardloom.llm.toxicity import fit_toxicity, score_toxicity
 from shardloom.llm.warc import warc_round_trip
 
@@ -35,6 +36,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(docs, 4, 85, 100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_join": op4_ngram_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op10_quality": op10_quality,
