@@ -35,10 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from shardloom.llm._spark import ship, staged
-from shardloom.llm._text import _BYTE, U64, buffer, mix, pieces, ranges
+from shardloom.llm._spark import discard, ship, staged
+from shardloom.llm._text import _BYTE, U64, mix, pieces, ranges
 
 LENGTH = 200
 GRAM = 64
@@ -130,10 +129,10 @@ def _segments(length: int):
     """bucket, c1, start, run, segment from a text and the packed runs it is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "c1", "start", "run", "segment"]
+        names = ["bucket", "c1", "start", "run", "segment", "alone"]
         for part, data, offsets in pieces(batches, "text", 2 << 20):
             keys = part.column(part.schema.get_field_index("c1")).to_numpy()
-            asked = part.column(part.schema.get_field_index("runs"))
+            asked, alone = (part.column(part.schema.get_field_index(c)) for c in ("runs", "alone"))
             for r in range(part.num_rows):
                 text = data[offsets[r] : offsets[r + 1]]
                 runs = np.array([(x["start"], x["run"], x["anchor"], x["hot"]) for x in asked[r].as_py()], np.int64).reshape(-1, 4)
@@ -147,7 +146,7 @@ def _segments(length: int):
                 for a in range(0, len(start), 4096):
                     s, c = start[a : a + 4096], count[a : a + 4096]
                     cut = [whole[p : p + n + length - 1] for p, n in zip(s.tolist(), c.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 4096]), pa.array(np.full(len(s), keys[r])), pa.array(s), pa.array(c.astype(np.int32)), pa.array(cut, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 4096]), pa.array(np.full(len(s), keys[r])), pa.array(s), pa.array(c.astype(np.int32)), pa.array(cut, pa.binary()), pa.array(np.full(len(s), alone[r].as_py()))], names)
 
     return run
 
@@ -316,10 +315,18 @@ def repeated_spans(base: DataFrame, described: DataFrame, length: int = LENGTH,
     runs = runs.groupBy("c1").agg(F.collect_set("r").alias("runs"))
     keeper = described.groupBy("c1").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
     asked = runs.join(keeper, "c1").select("c1", "runs", "keeper", (F.col("copies") == 1).alias("alone"))
-    texts = base.join(asked, (base["c1"] == asked["c1"]) & base["doc_id"].eqNullSafe(asked["keeper"])).select(base["c1"], "text", "runs")
-    cut = texts.mapInArrow(_segments(length), "bucket bigint, c1 bigint, start bigint, run int, segment binary")
-    cut = cut.join(keeper.select("c1", (F.col("copies") == 1).alias("alone")), "c1").select("bucket", "c1", "start", "run", "segment", "alone")
-    return staged(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length), "c1 bigint, lo bigint, hi bigint"), "suffix-spans")
+    texts = base.join(asked, (base["c1"] == asked["c1"]) & base["doc_id"].eqNullSafe(asked["keeper"])).select(base["c1"], "text", "runs", "alone")
+    cut = texts.mapInArrow(_segments(length), "bucket bigint, c1 bigint, start bigint, run int, segment binary, alone boolean")
+    spans = staged(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length), "c1 bigint, lo bigint, hi bigint"), "suffix-spans")
+    discard(spans.sparkSession, found)
+    return spans
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    for batch in batches:
+        spans = [[{"lo": lo, "hi": hi} for lo, hi in merge([(x["lo"], x["hi"]) for x in row])] for row in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["c1", "spans"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +354,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     base = keyed(docs, id_col, text_col)
     described = staged(base.select("doc_id", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-texts")
     several = described.groupBy("c1", "c2").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.lit(True).alias("again"))
-    spans = repeated_spans(base, described, length, gram).groupBy("c1").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = staged(spans, "suffix-merged")
-    few = spans.count() <= BROADCAST_ROWS and spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    chosen = F.broadcast(spans) if 0 < few <= 20 * BROADCAST_ROWS else spans
+    found = repeated_spans(base, described, length, gram).groupBy("c1").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = staged(found.mapInArrow(_merged, "c1 bigint, spans array<struct<lo: bigint, hi: bigint>>"), "suffix-merged")
+    texts, pieces_of = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    small = texts <= BROADCAST_ROWS and (pieces_of or 0) <= 2 * BROADCAST_ROWS
+    chosen = F.broadcast(spans) if small else spans
     cut = base.select("c1", "text").join(chosen, "c1").mapInArrow(_cut_out, "c1 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     cut = staged(cut if keep_bytes else cut.drop("kept"), "suffix-cut").withColumnRenamed("c1", "of")
     out = described.join(several, (F.col("c1") == F.col("s1")) & (F.col("c2") == F.col("s2")), "left").join(cut, F.col("c1") == F.col("of"), "left")
