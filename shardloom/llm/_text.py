@@ -177,14 +177,10 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row."""
-    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    order = np.lexsort((values, owner)) if len(rows) > 2 else np.argsort(values)
-    values, owner = values[order], owner[order]
+    values = values.copy()
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    owner = owner[keep]
-    return values[keep], np.searchsorted(owner, np.arange(len(rows)))
-
-
-def binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+    keep[1:] = values[1:] != values[:-1]
+    keep[rows[:-1][np.diff(rows) > 0]] = True
+    return values[keep], np.concatenate([[0], np.cumsum(keep)])[rows]

@@ -10,12 +10,18 @@
    n - ceil(t n) + 1 n-grams in that order.  Classes that share one meet in a
    bucket; a bucket beyond ``BLOCK`` members is cut into blocks, and each pair of
    blocks is a task of its own, so no bucket lands in one task.
-4. R-tree.  n-grams are hashed into groups and a class is the point of its
+4. Hubs.  Every class is first compared with the smallest class of its buckets,
+   those ``HUBS`` it meets most often.  That takes a few pairs for each class and
+   joins nearly all of a group of near copies, however large it is.
+5. R-tree.  Buckets that still hold several components are searched for pairs
+   across them.  n-grams are hashed into groups and a class is the point of its
    counts by group.  The overlap of two sets is at most the sum of coordinate
    minima, and for a node of the tree that of the query with the node's upper
    corner.  Nodes and pairs whose bound is below the overlap they need go.
-5. Verification.  Surviving pairs, once each, fetch both texts and compare the
-   sets themselves.
+6. Verification.  Pairs fetch both texts and compare the sets themselves.
+
+A pair is left out only if it can't reach the threshold or its classes are joined
+already, so the components are exact.
 
 Links are joined into components by rounds of joins (``components``).
 
@@ -33,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shardloom.llm._spark import ship, staged
 from shardloom.llm._text import U64, distinct, mix, pieces, ranges, shingles, words
@@ -41,6 +48,7 @@ from shardloom.operators.fixpoint import components
 GROUPS = 64
 BLOCK = 4096
 LEAF = 64
+HUBS = 2
 #: An n-gram met so often within one task may be common; so many of these are kept.
 HOT_LOCAL, HOT_LIMIT = 4, 1_000_000
 #: Up to so many ids are broadcast to fetch texts, more are joined by shuffle.
@@ -153,18 +161,18 @@ def _buckets(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         some = (size > 1) & (size <= block)
         at = ranges(first[some], size[some])
         if len(at):
-            yield _rows(token[at], np.zeros(len(at), np.int8), cls[at])
+            yield _rows(token[at], np.zeros(len(at), np.int8), cls[at], np.repeat(cls[first[some]], size[some]))
         for f, s in zip(first[size > block], size[size > block], strict=True):
             parts = np.array_split(cls[f : f + s], -(-s // block))
             for i, left in enumerate(parts):
                 for j in range(i, len(parts)):
                     key = mix(np.array([token[f]]).view(U64) ^ mix(np.array([(i << 32) + j + 1], U64))).view(np.int64)[0]
-                    yield _rows(np.full(len(left), key), np.full(len(left), int(i != j), np.int8), left)
+                    yield _rows(np.full(len(left), key), np.full(len(left), int(i != j), np.int8), left, np.full(len(left), cls[f]))
                     if i != j:
-                        yield _rows(np.full(len(parts[j]), key), np.full(len(parts[j]), 2, np.int8), parts[j])
+                        yield _rows(np.full(len(parts[j]), key), np.full(len(parts[j]), 2, np.int8), parts[j], np.full(len(parts[j]), cls[f]))
 
-    def _rows(key: np.ndarray, side: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(cls)], ["bucket", "side", "c1"])
+    def _rows(key: np.ndarray, side: np.ndarray, cls: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(cls), pa.array(hub)], ["bucket", "side", "c1", "hub"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -194,69 +202,69 @@ def _points(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 class CountTree:
-    """R-tree over count vectors, packed bottom-up in order of size; a node keeps its upper corner and smallest size."""
+    """R-tree over count vectors, packed bottom-up in order of size; a node keeps its upper corner, its sizes and its component if it has but one."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, points: np.ndarray, comp: np.ndarray, leaf: int = LEAF) -> None:
         self.size = points.sum(1)
         self.order = np.lexsort((*points.T[:4], self.size))
-        self.points, self.leaf = points[self.order], leaf
-        starts = np.arange(0, len(points), leaf)
-        corner, low, high = np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.size[self.order], starts), np.maximum.reduceat(self.size[self.order], starts)
-        self.levels = [(corner, low, high)]
-        while len(corner) > 1:
-            starts = np.arange(0, len(corner), 8)
-            corner, low, high = np.maximum.reduceat(corner, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            self.levels.append((corner, low, high))
-
-    def pairs(self, queries: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of queries and points whose bound allows the threshold."""
+        self.points, self.comp, self.leaf = points[self.order], comp[self.order], leaf
+        own = self.size[self.order]
+        level, width = (self.points, own, own, self.comp, self.comp), leaf
+        self.levels = []
+        while not self.levels or len(level[0]) > 1:
+            starts = np.arange(0, len(level[0]), width)
+            level = tuple(f.reduceat(x, starts) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            self.levels.append(level)
+            width = 8
+
+    def pairs(self, queries: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of queries and points of different components whose bound allows the threshold."""
         size, out = queries.sum(1), []
+        own = self.size[self.order]
         for a in range(0, len(queries), 256):
-            q, n = queries[a : a + 256], size[a : a + 256]
+            q, n, c = queries[a : a + 256], size[a : a + 256], comp[a : a + 256]
             row, node = np.repeat(np.arange(len(q)), len(self.levels[-1][0])), np.tile(np.arange(len(self.levels[-1][0])), len(q))
             for depth in range(len(self.levels) - 1, -1, -1):
-                corner, low, high = self.levels[depth]
-                row, node = _fit(q, n, row, node, corner, low, high, num, den)
+                row, node = _fit(q, n, c, row, node, *self.levels[depth], num, den)
                 width, total = (self.leaf, len(self.points)) if depth == 0 else (8, len(self.levels[depth - 1][0]))
                 count = np.minimum(width, total - node * width)
                 row, node = np.repeat(row, count), ranges(node * width, count)
-            own = self.size[self.order]
-            row, node = _fit(q, n, row, node, self.points, own, own, num, den)
+            row, node = _fit(q, n, c, row, node, self.points, own, own, self.comp, self.comp, num, den)
             out.append((row + a, self.order[node]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _fit(q: np.ndarray, n: np.ndarray, row: np.ndarray, node: np.ndarray, corner: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    sized = (den * low[node] >= 0) & (den * high[node] >= num * n[row]) & (num * low[node] <= den * n[row])
+def _fit(q: np.ndarray, n: np.ndarray, c: np.ndarray, row: np.ndarray, node: np.ndarray, corner: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    sized = (den * high[node] >= num * n[row]) & (num * low[node] <= den * n[row]) & ((first[node] != c[row]) | (last[node] != c[row]))
     row, node = row[sized], node[sized]
     keep = np.zeros(len(row), bool)
     for a in range(0, len(row), 1 << 15):
-        r, c = row[a : a + (1 << 15)], node[a : a + (1 << 15)]
-        keep[a : a + (1 << 15)] = np.minimum(q[r], corner[c]).sum(1) >= least_overlap(n[r], low[c], num, den)
+        r, k = row[a : a + (1 << 15)], node[a : a + (1 << 15)]
+        keep[a : a + (1 << 15)] = np.minimum(q[r], corner[k]).sum(1) >= least_overlap(n[r], low[k], num, den)
     return row[keep], node[keep]
 
 
 def _candidates(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs within each bucket (rows sorted by bucket) that the R-tree can't rule out."""
+    """Pairs across the components of each bucket (rows sorted by bucket) that the R-tree can't rule out."""
 
-    def bucket(side: np.ndarray, cls: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bucket(side: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
         across = bool((side > 0).any())
         if across:
             left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        i, j = CountTree(points[right]).pairs(points[left], num, den)
+        i, j = CountTree(points[right], comp[right]).pairs(points[left], comp[left], num, den)
         i, j = left[i], right[j]
         if not across:
             i, j = i[cls[i] < cls[j]], j[cls[i] < cls[j]]
         return cls[i], cls[j]
 
-    def small(first: np.ndarray, size: np.ndarray, cls: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def small(first: np.ndarray, size: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets that are one leaf: all at once."""
         at = ranges(first, size)
         count = np.repeat(size, size) - 1 - (at - np.repeat(first, size))
         i, j = np.repeat(at, count), ranges(at + 1, count)
         n = points.sum(1)
-        keep = (den * n[j] >= num * n[i]) & (den * n[i] >= num * n[j])
+        keep = (comp[i] != comp[j]) & (den * n[j] >= num * n[i]) & (den * n[i] >= num * n[j])
         i, j = i[keep], j[keep]
         keep = np.zeros(len(i), bool)
         for a in range(0, len(i), 1 << 15):
@@ -264,12 +272,12 @@ def _candidates(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             keep[a : a + (1 << 15)] = np.minimum(points[x], points[y]).sum(1) >= least_overlap(n[x], n[y], num, den)
         return cls[i[keep]], cls[j[keep]]
 
-    def emit(key: np.ndarray, side: np.ndarray, cls: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(key: np.ndarray, side: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         few = (size <= 8) & (side[first] == 0)
-        found = [small(first[few], size[few], cls, points)] if few.any() else []
-        found += [bucket(side[f : f + s], cls[f : f + s], points[f : f + s]) for f, s in zip(first[~few], size[~few], strict=True)]
+        found = [small(first[few], size[few], cls, comp, points)] if few.any() else []
+        found += [bucket(side[f : f + s], cls[f : f + s], comp[f : f + s], points[f : f + s]) for f, s in zip(first[~few], size[~few], strict=True)]
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         for k in range(0, both.shape[1], 1 << 16):
@@ -278,9 +286,8 @@ def _candidates(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            key, side, cls = (batch.column(i).to_numpy() for i in range(3))
-            points = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).reshape(-1, GROUPS)
-            now = [key, side, cls, points]
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            now = [*columns, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32).reshape(-1, GROUPS)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole > 1 << 14:
@@ -329,24 +336,35 @@ def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
 
 
 def links(docs: DataFrame, described: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: classes (first halves of their keys) at or above the threshold num / den; staged."""
+    """a, b: classes (first halves of their keys) at or above num / den, enough of them to join every component; staged."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot = base.select("text").mapInArrow(_common(n, HOT_LOCAL), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_LIMIT)
     common = np.sort(np.asarray(hot.select("token").toArrow()["token"].combine_chunks()).astype(np.int64).view(U64))
     shared = spark.sparkContext.broadcast(common)
     entries = base.select("text").mapInArrow(_prefixes(n, num, den, shared), "token bigint, c1 bigint")
-    met = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_buckets(BLOCK), "bucket bigint, side tinyint, c1 bigint")
+    met = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_buckets(BLOCK), "bucket bigint, side tinyint, c1 bigint, hub bigint")
     met = staged(met, "ngram-buckets")
     # one document for each class that meets another
-    wanted = met.select("c1").distinct()
     keeper = described.groupBy("c1").agg(F.min("doc_id").alias("doc_id"))
-    texts = staged(_texts(base, keeper.join(wanted, "c1", "left_semi"), n), "ngram-texts")
+    texts = staged(_texts(base, keeper.join(met.select("c1").distinct(), "c1", "left_semi"), n), "ngram-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (texts.select(F.col("c1").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+        return staged(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(n, num, den), "a bigint, b bigint"), "ngram-links")
+
+    often = Window.partitionBy("c1").orderBy(F.desc("n"), "hub")
+    to_hub = met.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= HUBS)
+    first = verified(to_hub.select(F.col("c1").alias("a"), F.col("hub").alias("b")))
+    joined = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "of")
+    member = met.join(joined, F.col("c1") == F.col("of"), "left").select("bucket", "side", "c1", "hub", F.coalesce("component", "c1").alias("comp"))
+    several = member.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("bucket")
     points = texts.select("text").mapInArrow(_points(n), "c1 bigint, point binary").dropDuplicates(["c1"])
-    near = met.join(points, "c1").select("bucket", "side", "c1", "point").repartition("bucket").sortWithinPartitions("bucket", "c1").mapInArrow(_candidates(num, den), "a bigint, b bigint").distinct()
-    near = staged(near, "ngram-candidates")
-    left, right = (texts.select(F.col("c1").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return staged(near.join(left, "a").join(right, "b").mapInArrow(_verify(n, num, den), "a bigint, b bigint"), "ngram-links")
+    searched = member.join(several, "bucket", "left_semi").join(points, "c1").select("bucket", "side", "c1", "comp", "point", "hub")
+    # buckets with one hub share most of their pairs, so they meet in few tasks
+    dealt = searched.repartition("hub", F.pmod("bucket", F.lit(4))).sortWithinPartitions("bucket", "c1").drop("hub")
+    near = dealt.mapInArrow(_candidates(num, den), "a bigint, b bigint").distinct()
+    return first.unionByName(verified(near))
 
 
 def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -365,16 +383,14 @@ def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (of the document's class), c1, c2."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links), and the two halves of the class key."""
     described = classes(docs, n, id_col, text_col)
     pairs = links(docs, described, n, num, den, id_col, text_col)
     group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # classes without words stay apart: each of their rows is a component of its own
     smallest = described.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
     labelled = smallest.join(group.select(F.col("node").alias("c1"), "component"), "c1", "left").withColumn("component", F.coalesce("component", "c1"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_least"))
-    named = labelled.join(least, "component").join(degree.withColumnRenamed("node", "c1"), "c1", "left")
-    named = named.select(F.col("c1").alias("of"), "component_least", F.coalesce("n_links", F.lit(0)).alias("links"))
+    named = labelled.join(least, "component").select(F.col("c1").alias("of"), "component_least")
     out = described.join(named, (F.col("c1") == F.col("of")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "c1", "c2")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_least")).otherwise(F.col("doc_id")).alias("component_id"), "c1", "c2")
