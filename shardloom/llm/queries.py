@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shardloom.llm._spark import table
 from shardloom.llm.balltree import exact_top_k, integer_vectors
+from shardloom.llm.decontaminate import THRESHOLD, decontaminate
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.ngramjoin import ngram_components
+from shardloom.llm.ngramlm import kneser_ney_scores
 from shardloom.llm.quality import fit_quality, score_quality
 from shardloom.llm.suffixdedup import substring_dedup
 from shardloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -27,13 +29,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "severity", "grade", "toxic")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, coverage and item_id of the benchmark item covered most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.col("coverage") >= THRESHOLD).alias("contaminated"), "coverage", "item_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_components(docs, 4, 85, 100).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_components(docs, 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +58,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(points, F.col("id") % 20 == 0, 20)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"))
+    scored = kneser_ney_scores(docs, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), train_rows=fold(5) != 0)
@@ -58,11 +73,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_join": op4_ngram_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_topk": op8_topk,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_quality": op10_quality,
 }
 
