@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm._spark import table
 from shardloom.llm.balltree import exact_top_k, integer_vectors
+from shardloom.llm.compactwindows import passage_dedup
 from shardloom.llm.decontaminate import THRESHOLD, decontaminate
 from shardloom.llm.mixing import mix_sources
 from shardloom.llm.ngramjoin import ngram_components
@@ -49,6 +50,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans and repeats, the ids of the documents that keep what was removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passage_dedup(docs).select("doc_id", "n_words", "n_removed", "n_spans", "repeats")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_join": op4_ngram_join,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op9_kneser_ney": op9_kneser_ney,
