@@ -7,21 +7,20 @@
    commonest ``HOT_LIMIT`` of them (the list is bounded, so it may be
    broadcast; leaving one out changes the cost, not the result).
 3. Prefixes.  Two classes at or above the threshold t share one of the first
-   n - ceil(t n) + 1 n-grams in that order.  Classes that share one meet in a
-   bucket; a bucket beyond ``BLOCK`` members is cut into blocks, and each pair of
-   blocks is a task of its own, so no bucket lands in one task.
-4. Hubs.  Every class is first compared with the smallest class of its buckets,
-   those ``HUBS`` it meets most often.  That takes a few pairs for each class and
-   joins nearly all of a group of near copies, however large it is.
-5. R-tree.  Buckets that still hold several components are searched for pairs
-   across them.  n-grams are hashed into groups and a class is the point of its
+   n - ceil(t n) + 1 n-grams in that order.  The smallest class that has an n-gram
+   in its prefix is the hub of all others, and a hub's classes are a shard: pairs
+   that share a prefix n-gram share a shard.  A shard beyond ``BLOCK`` classes is
+   cut into blocks, and each pair of blocks is a cell of its own; others are one
+   cell.  No cell holds more than two blocks, whatever the shard.
+4. R-tree.  n-grams are hashed into groups and a class is the point of its
    counts by group.  The overlap of two sets is at most the sum of coordinate
    minima, and for a node of the tree that of the query with the node's upper
-   corner.  Nodes and pairs whose bound is below the overlap they need go.
-6. Verification.  Pairs fetch both texts and compare the sets themselves.
-
-A pair is left out only if it can't reach the threshold or its classes are joined
-already, so the components are exact.
+   corner.  Nodes and pairs whose bound is below the overlap they need go, and
+   with them all classes that no pair is left for.
+5. Verification.  The classes left fetch their texts.  The R-tree of a cell is
+   searched again and pairs are compared set by set, but for those which links
+   found in the cell have joined already.  So a cell gives fewer links than it
+   has classes, whatever the number of its pairs, and components stay exact.
 
 Links are joined into components by rounds of joins (``components``).
 
@@ -39,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shardloom.llm._spark import ship, staged
 from shardloom.llm._text import U64, distinct, mix, pieces, ranges, shingles, words
@@ -48,7 +47,6 @@ from shardloom.operators.fixpoint import components
 GROUPS = 64
 BLOCK = 4096
 LEAF = 64
-HUBS = 2
 #: An n-gram met so often within one task may be common; so many of these are kept.
 HOT_LOCAL, HOT_LIMIT = 4, 1_000_000
 #: Up to so many ids are broadcast to fetch texts, more are joined by shuffle.
@@ -147,44 +145,23 @@ def least_overlap_alone(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * n) // den)
 
 
-def _buckets(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by token to the members of each bucket of several classes, cut into blocks where it is large."""
-
-    def emit(token: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((cls, token))
-        token, cls = token[order], cls[order]
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls = token[keep], cls[keep]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(token)))
-        some = (size > 1) & (size <= block)
-        at = ranges(first[some], size[some])
-        if len(at):
-            yield _rows(token[at], np.zeros(len(at), np.int8), cls[at], np.repeat(cls[first[some]], size[some]))
-        for f, s in zip(first[size > block], size[size > block], strict=True):
-            parts = np.array_split(cls[f : f + s], -(-s // block))
-            for i, left in enumerate(parts):
-                for j in range(i, len(parts)):
-                    key = mix(np.array([token[f]]).view(U64) ^ mix(np.array([(i << 32) + j + 1], U64))).view(np.int64)[0]
-                    yield _rows(np.full(len(left), key), np.full(len(left), int(i != j), np.int8), left, np.full(len(left), cls[f]))
-                    if i != j:
-                        yield _rows(np.full(len(parts[j]), key), np.full(len(parts[j]), 2, np.int8), parts[j], np.full(len(parts[j]), cls[f]))
-
-    def _rows(key: np.ndarray, side: np.ndarray, cls: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(cls), pa.array(hub)], ["bucket", "side", "c1", "hub"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            token, cls = np.concatenate([token, batch.column(0).to_numpy()]), np.concatenate([cls, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            if whole:
-                yield from emit(token[:whole], cls[:whole])
-                token, cls = token[whole:], cls[whole:]
-        yield from emit(token, cls)
-
-    return run
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, c1 of n-grams that several classes have; rows come sorted by token and class, so a token's first class is the hub."""
+    last_token, last_hub = None, None
+    for batch in batches:
+        token, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(token):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        hub = cls[first]
+        if last_token == token[0]:
+            hub = np.concatenate([[last_hub], hub[1:]])
+        last_token, last_hub = token[-1], hub[-1]
+        hub = np.repeat(hub, np.diff(np.append(first, len(token))))
+        other = cls != hub
+        if other.any():
+            pairs = np.unique(np.stack([np.concatenate([hub[other], hub[other]]), np.concatenate([cls[other], hub[other]])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "c1"])
 
 
 def _points(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -217,12 +194,11 @@ class CountTree:
             self.levels.append(level)
             width = 8
 
-    def pairs(self, queries: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of queries and points of different components whose bound allows the threshold."""
-        size, out = queries.sum(1), []
-        own = self.size[self.order]
-        for a in range(0, len(queries), 256):
-            q, n, c = queries[a : a + 256], size[a : a + 256], comp[a : a + 256]
+    def pairs(self, queries: np.ndarray, comp: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of queries and points of different components whose bound allows the threshold, some queries at a time."""
+        size, own = queries.sum(1), self.size[self.order]
+        for a in range(0, len(queries), 64):
+            q, n, c = queries[a : a + 64], size[a : a + 64], comp[a : a + 64]
             row, node = np.repeat(np.arange(len(q)), len(self.levels[-1][0])), np.tile(np.arange(len(self.levels[-1][0])), len(q))
             for depth in range(len(self.levels) - 1, -1, -1):
                 row, node = _fit(q, n, c, row, node, *self.levels[depth], num, den)
@@ -230,8 +206,7 @@ class CountTree:
                 count = np.minimum(width, total - node * width)
                 row, node = np.repeat(row, count), ranges(node * width, count)
             row, node = _fit(q, n, c, row, node, self.points, own, own, self.comp, self.comp, num, den)
-            out.append((row + a, self.order[node]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            yield row + a, self.order[node]
 
 
 def _fit(q: np.ndarray, n: np.ndarray, c: np.ndarray, row: np.ndarray, node: np.ndarray, corner: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,90 +219,142 @@ def _fit(q: np.ndarray, n: np.ndarray, c: np.ndarray, row: np.ndarray, node: np.
     return row[keep], node[keep]
 
 
-def _candidates(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs across the components of each bucket (rows sorted by bucket) that the R-tree can't rule out."""
+def _cells(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.Table]:
+    """Whole cells, at least so many rows together, of rows sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least or not batch.num_rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cell = table["cell"].to_numpy()
+        whole = int(np.searchsorted(cell, cell[-1]))
+        if whole:
+            yield table.slice(0, whole)
+        held, rows = table.slice(whole).combine_chunks().to_batches(), table.num_rows - whole
+        least = max(1 << 14, rows + (1 << 12))
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-    def bucket(side: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
-        across = bool((side > 0).any())
-        if across:
-            left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        i, j = CountTree(points[right], comp[right]).pairs(points[left], comp[left], num, den)
-        i, j = left[i], right[j]
-        if not across:
-            i, j = i[cls[i] < cls[j]], j[cls[i] < cls[j]]
-        return cls[i], cls[j]
+def _bounds(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    yield from zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True)
 
-    def small(first: np.ndarray, size: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets that are one leaf: all at once."""
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to ask and rows to search: of a cell of two blocks one each, else all."""
+    if (side > 0).any():
+        return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    return np.arange(len(side)), np.arange(len(side))
+
+
+def _survivors(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """hub, c1 of classes for which the R-tree of a cell leaves a partner."""
+
+    def pairs(first: np.ndarray, size: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that are less than one leaf: all at once."""
         at = ranges(first, size)
         count = np.repeat(size, size) - 1 - (at - np.repeat(first, size))
         i, j = np.repeat(at, count), ranges(at + 1, count)
         n = points.sum(1)
-        keep = (comp[i] != comp[j]) & (den * n[j] >= num * n[i]) & (den * n[i] >= num * n[j])
+        keep = (den * n[j] >= num * n[i]) & (den * n[i] >= num * n[j])
         i, j = i[keep], j[keep]
         keep = np.zeros(len(i), bool)
         for a in range(0, len(i), 1 << 15):
             x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
             keep[a : a + (1 << 15)] = np.minimum(points[x], points[y]).sum(1) >= least_overlap(n[x], n[y], num, den)
-        return cls[i[keep]], cls[j[keep]]
-
-    def emit(key: np.ndarray, side: np.ndarray, cls: np.ndarray, comp: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        few = (size <= 8) & (side[first] == 0)
-        found = [small(first[few], size[few], cls, comp, points)] if few.any() else []
-        found += [bucket(side[f : f + s], cls[f : f + s], comp[f : f + s], points[f : f + s]) for f, s in zip(first[~few], size[~few], strict=True)]
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        for k in range(0, both.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(both[0, k : k + (1 << 16)]), pa.array(both[1, k : k + (1 << 16)])], ["a", "b"])
+        return i[keep], j[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            now = [*columns, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32).reshape(-1, GROUPS)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if whole > 1 << 14:
-                yield from emit(*(x[:whole] for x in held))
-                held = [x[whole:] for x in held]
-        if held is not None and len(held[0]):
-            yield from emit(*held)
+        for table in _cells(batches):
+            cell, side, hub, cls = (table[c].to_numpy() for c in ("cell", "side", "hub", "c1"))
+            points = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
+            live = np.zeros(len(cell), bool)
+            bounds = np.array(list(_bounds(cell)))
+            few = (bounds[:, 1] - bounds[:, 0] <= 8) & (side[bounds[:, 0]] == 0)
+            if few.any():
+                i, j = pairs(bounds[few, 0], bounds[few, 1] - bounds[few, 0], points)
+                live[i] = live[j] = True
+            for a, b in bounds[~few]:
+                left, right = (a + x for x in _sides(side[a:b]))
+                if len(left) and len(right):
+                    tree = CountTree(points[right], np.arange(len(right)))
+                    own = np.searchsorted(right, left)
+                    for i, j in tree.pairs(points[left], np.where(side[left] == 0, own, -1), num, den):
+                        live[left[i]] = live[right[j]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(hub[live]), pa.array(cls[live])], ["hub", "c1"])
 
     return run
 
 
-def _verify(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _links(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """a, b: links that join the components within each cell."""
+
+    def solve(side: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(s) for s in sets])
+        rows = np.concatenate([[0], np.cumsum(size)])
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        points = np.bincount(owner * GROUPS + (mix(values) % U64(GROUPS)).astype(np.int64)[at], minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+        root = np.arange(len(sets))
+        mark = np.zeros(len(values), bool)
+        left, right = _sides(side)
+        if not len(left) or not len(right):
+            return
+        tree = CountTree(points[right], np.arange(len(right)))
+        own = np.searchsorted(right, left)
+        for i, j in tree.pairs(points[left], np.where(side[left] == 0, own, -1), num, den):
+            i, j = left[i], right[j]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            for a, b in _bounds(i):
+                x, others = i[a], j[a:b]
+                if side[x] == 0:
+                    others = others[others > x]
+                others = others[root[others] != root[x]]
+                if not len(others):
+                    continue
+                mark[at[rows[x] : rows[x + 1]]] = True
+                for c in range(0, len(others), 512):
+                    some = others[c : c + 512]
+                    some = some[root[some] != root[x]]
+                    if not len(some):
+                        continue
+                    hits = np.add.reduceat(mark[at[ranges(rows[some], size[some])]].astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+                    for y in some[den * hits >= num * (size[x] + size[some] - hits)]:
+                        if root[y] != root[x]:
+                            root[root == root[y]] = root[x]
+                            yield int(x), int(y)
+                mark[at[rows[x] : rows[x + 1]]] = False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b"]
-        for batch in batches:
-            done = 0
-            while done < batch.num_rows:
-                part = batch.slice(done, 256)
-                done += 256
-                sides = []
-                for name in ("text_a", "text_b"):
-                    column = part.column(part.schema.get_field_index(name)).dictionary_encode()
-                    piece = pa.RecordBatch.from_arrays([column.dictionary], ["t"])
-                    sets = []
-                    for _, data, offsets in pieces([piece], "t"):
-                        values, rows = _sets(data, offsets, n)
-                        sets += [values[p:q] for p, q in zip(rows[:-1], rows[1:], strict=True)]
-                    sides.append([sets[i] for i in column.indices.to_pylist()])
-                keep = []
-                for x, y in zip(*sides, strict=True):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep.append(den * shared >= num * (len(x) + len(y) - shared))
-                keep = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).filter(keep) for c in names], names)
+        for table in _cells(batches, 1 << 10):
+            cell, side, cls = (table[c].to_numpy() for c in ("cell", "side", "c1"))
+            for a, b in _bounds(cell):
+                sets: list[np.ndarray] = []
+                for _, data, offsets in pieces([pa.RecordBatch.from_arrays([table["text"].slice(a, b - a).combine_chunks()], ["t"])], "t"):
+                    values, rows = _sets(data, offsets, n)
+                    sets += [values[p:q] for p, q in zip(rows[:-1], rows[1:], strict=True)]
+                found = list(solve(side[a:b], sets))
+                if found:
+                    i, j = np.array(found).T + a
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], ["a", "b"])
 
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of shards (hub, c1) with the cell each row goes to, and its side there: 0 for whole shards and single blocks."""
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("tinyint")
+    return rows.select("hub", "c1", F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"))
+
+
 def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and the class of every document; staged."""
     ship(docs.sparkSession)
@@ -343,28 +370,16 @@ def links(docs: DataFrame, described: DataFrame, n: int, num: int, den: int, id_
     common = np.sort(np.asarray(hot.select("token").toArrow()["token"].combine_chunks()).astype(np.int64).view(U64))
     shared = spark.sparkContext.broadcast(common)
     entries = base.select("text").mapInArrow(_prefixes(n, num, den, shared), "token bigint, c1 bigint")
-    met = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_buckets(BLOCK), "bucket bigint, side tinyint, c1 bigint, hub bigint")
-    met = staged(met, "ngram-buckets")
-    # one document for each class that meets another
+    met = staged(entries.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(_hubs, "hub bigint, c1 bigint").distinct(), "ngram-shards")
+    points = base.select("text").mapInArrow(_points(n), "c1 bigint, point binary").groupBy("c1").agg(F.min("point").alias("point"))
+    located = _dealt(met).join(points, "c1").select("cell", "side", "hub", "c1", "point")
+    left = located.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_survivors(num, den), "hub bigint, c1 bigint")
+    left = staged(left.distinct(), "ngram-survivors")
+    # one document for each class that is left
     keeper = described.groupBy("c1").agg(F.min("doc_id").alias("doc_id"))
-    texts = staged(_texts(base, keeper.join(met.select("c1").distinct(), "c1", "left_semi"), n), "ngram-texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("c1").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-        return staged(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(n, num, den), "a bigint, b bigint"), "ngram-links")
-
-    often = Window.partitionBy("c1").orderBy(F.desc("n"), "hub")
-    to_hub = met.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= HUBS)
-    first = verified(to_hub.select(F.col("c1").alias("a"), F.col("hub").alias("b")))
-    joined = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "of")
-    member = met.join(joined, F.col("c1") == F.col("of"), "left").select("bucket", "side", "c1", "hub", F.coalesce("component", "c1").alias("comp"))
-    several = member.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("bucket")
-    points = texts.select("text").mapInArrow(_points(n), "c1 bigint, point binary").dropDuplicates(["c1"])
-    searched = member.join(several, "bucket", "left_semi").join(points, "c1").select("bucket", "side", "c1", "comp", "point", "hub")
-    # buckets with one hub share most of their pairs, so they meet in few tasks
-    dealt = searched.repartition("hub", F.pmod("bucket", F.lit(4))).sortWithinPartitions("bucket", "c1").drop("hub")
-    near = dealt.mapInArrow(_candidates(num, den), "a bigint, b bigint").distinct()
-    return first.unionByName(verified(near))
+    texts = _texts(base, keeper.join(left.select("c1").distinct(), "c1", "left_semi"), n)
+    compared = _dealt(left).join(texts, "c1").select("cell", "side", "c1", "text")
+    return staged(compared.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_links(n, num, den), "a bigint, b bigint").distinct(), "ngram-links")
 
 
 def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -383,7 +398,7 @@ def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), and the two halves of the class key."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links), the two halves of the class key, and the component's smallest class."""
     described = classes(docs, n, id_col, text_col)
     pairs = links(docs, described, n, num, den, id_col, text_col)
     group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -391,6 +406,30 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     smallest = described.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
     labelled = smallest.join(group.select(F.col("node").alias("c1"), "component"), "c1", "left").withColumn("component", F.coalesce("component", "c1"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_least"))
-    named = labelled.join(least, "component").select(F.col("c1").alias("of"), "component_least")
+    named = labelled.join(least, "component").select(F.col("c1").alias("of"), "component_least", "component")
     out = described.join(named, (F.col("c1") == F.col("of")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_least")).otherwise(F.col("doc_id")).alias("component_id"), "c1", "c2")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_least")).otherwise(F.col("doc_id")).alias("component_id"), "c1", "c2", "component")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but one of each component: the row with the smallest id stays.  Texts without words stay."""
+    rows = ngram_components(docs, n, num, den, id_col, text_col).where("n_shingles > 0")
+    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2")).alias("kept"))
+    keys = rows.groupBy("doc_id", "c1", "c2").agg(F.min("component").alias("component"), F.count("*").alias("rows"))
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2")
+    # of rows that repeat an id and a class, one stays: they are set apart by number
+    marked = staged(keys.join(keep, "component").select("doc_id", "c1", "c2", "rows", (mine == F.col("kept")).alias("stays")), "ngram-kept")
+    gone = marked.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("_id"), F.col("c1").alias("_g1"), F.col("c2").alias("_g2"), (F.col("stays") & (F.col("rows") > 1)).alias("_again"))
+    listed = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    columns, schema = docs.columns, StructType([*docs.schema.fields, StructField("_c1", LongType()), StructField("_c2", LongType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in pieces(batches, text_col):
+            a, b = _class_keys(*_sets(data, offsets, n))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], [*columns, "_c1", "_c2"])
+
+    out = docs.mapInArrow(keyed, schema).join(listed, (F.col("_c1") == F.col("_g1")) & (F.col("_c2") == F.col("_g2")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = out.where("_g1 IS NULL").select(*columns)
+    if marked.where("stays AND rows > 1").isEmpty():
+        return kept
+    return kept.unionByName(out.where("_again").dropDuplicates(["_c1", "_c2", "_id"]).select(*columns))
