@@ -137,7 +137,7 @@ def _tiler(shared, text_col: str, names: tuple[str, str], least: int, threshold:
             order = np.lexsort((at, key))
             key, at, spot = key[order], at[order], place[pair][order]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist() if len(cuts) else [], strict=True):
                 r, i = divmod(int(key[a]), len(size))
                 marked = np.zeros(size[i] + least, np.int64)
                 np.add.at(marked, np.unique(spot[a:b]), 1)
