@@ -1,33 +1,15 @@
-"""Session helpers shared by the operators: shared folder, staged tables, shipping of this package."""
+"""Session helpers shared by the operators: shared folder and staged tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shardloom.functions.shipping import ship
 from shardloom.operators.fixpoint import shared_dir
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers, wherever the driver found it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, str(p.relative_to(root.parent)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
+__all__ = ["discard", "shared_dir", "ship", "staged", "table", "workspace"]
 
 def workspace(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
