@@ -4,8 +4,10 @@
    set form one class, so copies are never paired.
 2. Order.  Any order of the n-grams keeps the next step exact; common ones are
    put last.  Common are those met several times within one task, the
-   commonest ``HOT_LIMIT`` of them (the list is bounded, so it may be
-   broadcast; leaving one out changes the cost, not the result).
+   commonest ``HOT_LIMIT`` of them; the others are in order of their rarest
+   word, by the counts of the commonest ``WORD_LIMIT`` words.  Both lists are
+   bounded, so they may be broadcast; what they leave out changes the cost, not
+   the result.
 3. Prefixes.  Two classes at or above the threshold t share one of the first
    n - ceil(t n) + 1 n-grams in that order.  The smallest class that has an n-gram
    in its prefix is the hub of all others, and a hub's classes are a shard: pairs
@@ -49,6 +51,7 @@ BLOCK = 4096
 LEAF = 64
 #: An n-gram met so often within one task may be common; so many of these are kept.
 HOT_LOCAL, HOT_LIMIT = 4, 1_000_000
+WORD_LOCAL, WORD_LIMIT = 8, 1 << 17
 #: Up to so many ids are broadcast to fetch texts, more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -85,57 +88,102 @@ def _describe(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _common(n: int, local: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """n-grams of several classes among the texts of this task, with their count there."""
+class _Counter:
+    """Counts of 64-bit values in bounded memory: beyond some millions those met once so far make room."""
+
+    def __init__(self) -> None:
+        self.values, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.new.append(values)
+        self.held += len(values)
+        if self.held > 1 << 20:
+            self.fold()
+
+    def fold(self) -> None:
+        new = np.concatenate(self.new) if self.new else np.zeros(0, U64)
+        new.sort()
+        first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]])) if len(new) else np.zeros(0, np.int64)
+        new, counts = new[first], np.diff(np.append(first, len(new)))
+        at = np.searchsorted(self.values, new)
+        known = np.zeros(len(new), bool)
+        inside = at < len(self.values)
+        known[inside] = self.values[at[inside]] == new[inside]
+        self.counts[at[known]] += counts[known]
+        self.values = np.insert(self.values, at[~known], new[~known])
+        self.counts = np.insert(self.counts, at[~known], counts[~known])
+        if len(self.values) > 1 << 21:
+            self.values, self.counts = self.values[self.counts > 1], self.counts[self.counts > 1]
+        self.new, self.held = [], 0
+
+    def often(self, least: int, kind: int) -> pa.RecordBatch:
+        self.fold()
+        keep = self.counts >= least
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), kind, np.int8)), pa.array(self.values[keep].view(np.int64)), pa.array(self.counts[keep])], ["kind", "token", "n"])
+
+
+def _common(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """kind, token, n: n-grams (0) of several classes of this task and words (1) it met often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kept, held = set(), [], 0
-        tokens, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-
-        def fold() -> None:
-            nonlocal tokens, counts, kept, held
-            every = np.concatenate([tokens, *kept])
-            many = np.concatenate([counts, np.ones(len(every) - len(tokens), np.int64)])
-            order = np.argsort(every)
-            every, many = every[order], many[order]
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            tokens, counts = every[first], np.add.reduceat(many, first) if len(first) else many
-            if len(tokens) > 1 << 21:  # keep memory bounded: singles of the past make room
-                tokens, counts = tokens[counts > 1], counts[counts > 1]
-            kept, held = [], 0
-
+        seen: set[int] = set()
+        grams, single = _Counter(), _Counter()
         for _, data, offsets in pieces(batches, "text"):
-            values, rows = _sets(data, offsets, n)
+            _, _, h, rows = words(data, offsets)
+            single.add(h)
+            values, rows = distinct(*shingles(h, rows, n))
             a, _ = _class_keys(values, rows)
-            new = [r for r, k in enumerate(a.tolist()) if not (k in seen or seen.add(k))]
-            new = np.array(new, np.int64)
-            kept.append(values[ranges(rows[:-1][new], np.diff(rows)[new])])
-            held += len(kept[-1])
-            if held > 1 << 20:
-                fold()
-        fold()
-        often = counts >= local
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
+            new = np.array([r for r, k in enumerate(a.tolist()) if not (k in seen or seen.add(k))], np.int64)
+            grams.add(values[ranges(rows[:-1][new], np.diff(rows)[new])])
+        yield grams.often(HOT_LOCAL, 0)
+        yield single.often(WORD_LOCAL, 1)
 
     return run
 
 
-def _prefixes(n: int, num: int, den: int, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _word_levels(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of 2^20 slots with a word and the logarithm of its count; of words that share one the commonest has it."""
+    order = np.lexsort((hashes, counts))
+    known, level = np.zeros(1 << 20, U64), np.zeros(1 << 20, np.int8)
+    slot = (hashes[order] >> U64(44)).astype(np.int64)
+    known[slot] = hashes[order]
+    level[slot] = np.minimum(np.log2(counts[order]) + 1, 62).astype(np.int8)
+    return known, level
+
+
+def _prefixes(n: int, num: int, den: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = hot.value
+        common, known, level = shared.value
         likely = np.zeros(1 << 20, bool)
         likely[common >> U64(44)] = True
         for _, data, offsets in pieces(batches, "text"):
-            values, rows = _sets(data, offsets, n)
-            size, (a, _) = np.diff(rows), _class_keys(values, rows)
-            last = np.zeros(len(values), np.int8)
+            _, _, h, rows = words(data, offsets)
+            slot = (h >> U64(44)).astype(np.int64)
+            own = np.where(known[slot] == h, level[slot], 0).astype(np.int8)
+            values, first = shingles(h, rows, n)
+            rank = np.zeros(len(values), np.int8)
+            long = np.flatnonzero(np.diff(rows) >= n)
+            at, to = ranges(rows[:-1][long], np.diff(first)[long]), ranges(first[:-1][long], np.diff(first)[long])
+            if len(at):
+                rank[to] = np.minimum.reduce([own[at + i] for i in range(n)])
             maybe = np.flatnonzero(likely[values >> U64(44)])
-            last[maybe[np.isin(values[maybe], common)]] = 1
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((values, last, owner))
-            take = np.where(size > 0, size - least_overlap_alone(size, num, den) + 1, 0)
-            at = order[ranges(rows[:-1], take)]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(a[owner[at]].view(np.int64))], ["token", "c1"])
+            rank[maybe[np.isin(values[maybe], common)]] = 63
+            size, token, cls = [], [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                order = a + np.argsort(values[a:b])
+                some = values[order]
+                keep = np.ones(b - a, bool)
+                keep[1:] = some[1:] != some[:-1]
+                order, some = order[keep], some[keep]
+                key, _ = _class_keys(some, np.array([0, len(some)]))
+                take = len(some) - least_overlap_alone(len(some), num, den) + 1 if len(some) else 0
+                token.append(some[np.argsort(rank[order], kind="stable")[:take]])
+                size.append(take)
+                cls.append(key[0])
+            token = np.concatenate(token) if token else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(cls, U64), size).view(np.int64))], ["token", "c1"])
 
     return run
 
@@ -366,9 +414,14 @@ def links(docs: DataFrame, described: DataFrame, n: int, num: int, den: int, id_
     """a, b: classes (first halves of their keys) at or above num / den, enough of them to join every component; staged."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = base.select("text").mapInArrow(_common(n, HOT_LOCAL), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_LIMIT)
-    common = np.sort(np.asarray(hot.select("token").toArrow()["token"].combine_chunks()).astype(np.int64).view(U64))
-    shared = spark.sparkContext.broadcast(common)
+    often = staged(base.select("text").mapInArrow(_common(n), "kind tinyint, token bigint, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")), "ngram-common")
+
+    def commonest(kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        got = often.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(limit).toArrow().combine_chunks()
+        return got["token"].to_numpy().view(U64), got["n"].to_numpy()
+
+    hot, (single, counts) = np.sort(commonest(0, HOT_LIMIT)[0]), commonest(1, WORD_LIMIT)
+    shared = spark.sparkContext.broadcast((hot, *_word_levels(single, counts)))
     entries = base.select("text").mapInArrow(_prefixes(n, num, den, shared), "token bigint, c1 bigint")
     met = staged(entries.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(_hubs, "hub bigint, c1 bigint").distinct(), "ngram-shards")
     points = base.select("text").mapInArrow(_points(n), "c1 bigint, point binary").groupBy("c1").agg(F.min("point").alias("point"))
