@@ -1,0 +1 @@
+"""Small helpers: identifier rules, shipping of this package."""

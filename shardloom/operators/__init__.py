@@ -1,0 +1 @@
+"""Graph preparation and algorithms as DataFrame programs."""

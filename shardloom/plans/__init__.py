@@ -1,0 +1 @@
+"""The graph model and the superstep runtime."""

@@ -161,7 +161,8 @@ def run_bsp(g: PropertyGraph, program: SubgraphComputation, schema: str, conf: d
             raise RuntimeError(f"no end after {max_supersteps} supersteps")
         out = cut(state.groupBy("sgid").cogroup(inbox.groupBy("to_sgid")).applyInPandas(_superstep(program, step, conf), _OUT), "bsp")
         metrics.append(out.where("kind IN ('seconds', 'received', 'sent', 'broadcast')").select(F.lit(step).alias("superstep"), "sgid", F.col("kind").alias("metric"), "amount"))
-        drop(state) if step == 0 else None
+        if step == 0:
+            drop(state)
         state = out.where("kind = 'state'").select("sgid", "body", "halted")
         sent = out.where("kind IN ('message', 'vertex', 'all')")
         active, waiting = out.agg(F.count_if((F.col("kind") == "state") & ~F.col("halted")), F.count_if(F.col("kind").isin("message", "vertex", "all"))).first()

@@ -1,0 +1 @@
+"""Nothing here: graphs are static tables, and no operator of the inventory works on a stream."""
