@@ -92,6 +92,41 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) END AS grams FROM w),
+n AS (SELECT doc_id, len(grams)::BIGINT AS n_shingles FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, least_id) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION SELECT e.b, min(r.least_id) FROM r JOIN e ON r.doc_id = e.a JOIN recurring.r AS o ON o.doc_id = e.b GROUP BY e.b, o.least_id HAVING min(r.least_id) < o.least_id)
+SELECT doc_id, n_shingles, least_id AS component_id FROM n JOIN r USING (doc_id)
+""",
+    "op5_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+c AS (SELECT doc_id, x, unnest(range(0, n_bytes - 199, 256)) AS first FROM h WHERE n_bytes >= 200),
+y AS (SELECT doc_id, first, substring(x, 2 * first + 1, 2 * 455) AS piece FROM c),
+p AS (SELECT doc_id, first, piece, unnest(range(0, strlen(piece) // 2 - 199)) AS i FROM y),
+m AS (SELECT doc_id, first + i AS pos, md5(substring(piece, 2 * i + 1, 400)) AS k FROM p),
+t AS (SELECT k FROM m GROUP BY k HAVING count(*) > 1),
+o AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m SEMI JOIN t USING (k)),
+i AS (SELECT doc_id, pos, sum((before IS NULL OR pos > before + 200)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM o),
+r AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 200 AS b FROM i GROUP BY ALL),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS done FROM r),
+u AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substring(x, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS head
+  FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN u USING (doc_id)
+""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
