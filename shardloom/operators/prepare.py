@@ -46,24 +46,27 @@ def relabel(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *[c for c in arcs.columns if c not in ("src", "dst")]), table
 
 
-def assign_partitions(vertices: DataFrame, parts: int, method: str = "hash", mapping: DataFrame | None = None, arcs: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """vid, pid by "hash", "modulo", "range", "file" (a table vid, pid) or "labels" (label propagation from hash)."""
+def assign_partitions(vertices: DataFrame, parts: int, method: str = "hash", mapping: DataFrame | None = None, arcs: DataFrame | None = None, rounds: int = 3, start: str = "hash") -> DataFrame:
+    """vid, pid by "hash", "modulo", "range", "file" (a table vid, pid) or "labels" (label propagation from ``start``, "hash" or "modulo").
+
+    A vertex takes the partition of most of its in-neighbours, of several the smallest; without any it stays.
+    """
     if method == "file":
         return vertices.join(mapping.select("vid", F.col("pid").cast("int")), "vid")
     if method == "range":
         low, high = vertices.agg(F.min("vid"), F.max("vid")).first()
         return vertices.select("vid", range_partition(F.col("vid"), low or 0, high or 0, parts).alias("pid"))
-    rule = modulo_partition if method == "modulo" else hash_partition
-    start = vertices.select("vid", rule(F.col("vid"), parts).alias("pid"))
+    rule = modulo_partition if "modulo" in (method, start if method == "labels" else None) else hash_partition
+    first = vertices.select("vid", rule(F.col("vid"), parts).alias("pid"))
     if method != "labels":
-        return start
+        return first
 
     def step(state: DataFrame, _: int) -> DataFrame:
         votes = arcs.join(state.select(F.col("vid").alias("src"), "pid"), "src").groupBy(F.col("dst").alias("vid"), "pid").agg(F.count("*").alias("n"))
         best = votes.groupBy("vid").agg(F.min_by("pid", F.struct(-F.col("n"), "pid")).alias("new"))
         return state.join(best, "vid", "left").select("vid", F.coalesce("new", "pid").alias("pid"))
 
-    return fixpoint(start, step, lambda _, done: done >= rounds)[0]
+    return fixpoint(first, step, lambda _, done: done >= rounds)[0]
 
 
 def resolve(parts: DataFrame, arcs: DataFrame, on_dangling: str = "add", partitions: int | None = None) -> tuple[DataFrame, DataFrame]:

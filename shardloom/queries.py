@@ -20,6 +20,7 @@ from shardloom.sources import readers, writers
 
 PARTS = 4
 _graphs: dict[tuple[str, str, str], PropertyGraph] = {}
+_files: dict[tuple[str, str], str] = {}
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,57 @@ def q_bsp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.where("metric = 'sent'").groupBy("superstep").agg(F.sum("amount").cast("long").alias("messages"))
 
 
+def _written(spark: SparkSession, lines: DataFrame, by: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/lines-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    writers.write_lines(lines, path, by)
+    return path
+
+
+def q_full_info_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-info rows whose stored partitions count from 1."""
+    g = graph(spark, sf_dir)
+    shifted = PropertyGraph(g.vertices.withColumn("pid", F.col("pid") + 1), g.edges.withColumn("src_pid", F.col("src_pid") + 1).withColumn("dst_pid", F.col("dst_pid") + 1))
+    _, arcs = _round_trip(spark, writers.full_info_lines(shifted), lambda s, path: readers.full_info(s, path, pid_base=1))
+    return arcs.select("src", "dst", "src_sgid", "dst_sgid", "dst_pid")
+
+
+def q_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = writers.edge_lines(pairs(spark, sf_dir)).unionByName(spark.range(3).select(F.concat(F.lit("# comment "), F.col("id").cast("string")).alias("value")))
+    return readers.snap_edges(spark, _written(spark, lines))
+
+
+def q_partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.partition_map(spark, _written(spark, graph(spark, sf_dir).vertices.select(writers.text("vid", "pid", sep=" "))))
+
+
+def _subgraph_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph as one file per subgraph, written once per session and data, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        _files[key] = _written(spark, writers.subgraph_file_lines(graph(spark, sf_dir)), "sgid")
+    return readers.subgraph_files(spark, _files[key], scale_weights=True)
+
+
+def one_way(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Arcs from the smaller part to the larger only; vertex rows for sources only, so other sinks dangle."""
+    key = (spark.sparkContext.applicationId, sf_dir, "one way")
+    if key not in _graphs:
+        arcs = pairs(spark, sf_dir)
+        nodes = arcs.select(F.col("src").alias("vid")).distinct()
+        _graphs[key] = prepare.build_graph(nodes.select("vid", modulo_partition(F.col("vid"), PARTS).alias("pid")), arcs)
+    return _graphs[key]
+
+
+def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return prepare.assign_partitions(g.vertices.select("vid"), PARTS, "labels", arcs=g.edges, rounds=3, start="modulo")
+
+
+def q_blogel_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
+    return writers.blogel_lines(arcs, True)
+
+
 def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preparation pipeline from pairs and a partition map, as resolved arcs."""
     edges = pairs(spark, sf_dir)
@@ -160,6 +212,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fullinfo_roundtrip": q_full_info,
     "metis_export": q_metis,
     "blogel_export": lambda s, d: writers.blogel_lines(prepare.symmetrize(pairs(s, d))),
+    "partition_range": _on(lambda g: prepare.assign_partitions(g.vertices.select("vid"), PARTS, "range")),
+    "partition_labels": q_labels,
+    "partition_map_roundtrip": q_partition_map,
+    "snap_roundtrip": q_snap,
+    "fullinfo_pid_base": q_full_info_base,
+    "subgraph_files_roundtrip": lambda s, d: _subgraph_files(s, d)[1],
+    "subgraph_files_vertices": lambda s, d: _subgraph_files(s, d)[0].select("vid", "pid", "sgid", "value"),
+    "subgraph_files_neighbours": lambda s, d: _subgraph_files(s, d)[2],
+    "relabel_map_export": lambda s, d: writers.map_lines(prepare.relabel(pairs(s, d))[1]),
+    "gml_export": _on(writers.gml_lines),
+    "blogel_multiset_export": q_blogel_multiset,
+    "distance_export": lambda s, d: writers.distance_lines(one_way(s, d), traversal.sssp(one_way(s, d), one_way(s, d).vertices.agg(F.min("vid")).first()[0])),
+    "triangle_value_export": _on(lambda g: writers.subgraph_value_lines(cohesion.triangles_per_subgraph(g))),
+    "core_export": _on(lambda g: writers.vertex_value_lines(cohesion.kcore(g), " ")),
+    "directed_components": lambda s, d: stats.connected_components(one_way(s, d)),
+    "directed_degrees": lambda s, d: stats.degrees(one_way(s, d)),
+    "pagerank_dangling": lambda s, d: rank.pagerank(one_way(s, d), tol=None, max_iter=5).select("vid", F.round("rank", 8).alias("rank")),
+    "graph_kmeans": _on(lambda g: traversal.graph_kmeans(g, 10, 75, 2)[0]),
     "bsp_vertex_count": lambda s, d: bsp.run_bsp(graph(s, d), bsp.CountVertices(), "sgid long, vertices long")[0],
     "bsp_connected_components": lambda s, d: bsp.run_bsp(graph(s, d), bsp.SmallestSubgraph(), "sgid long, component long")[0],
     "bsp_bfs_hops": q_bsp_hops,
@@ -253,6 +323,20 @@ km(vid, dist, cluster) USING KEY (vid) AS (
   SELECT e.d, r.dist + 1, min(r.cluster) FROM km r JOIN e ON r.vid = e.s LEFT JOIN recurring.km o ON o.vid = e.d WHERE o.vid IS NULL GROUP BY e.d, r.dist),
 assigned AS (SELECT v.vid, coalesce(km.cluster, -1)::INTEGER AS cluster, km.dist FROM v LEFT JOIN km USING (vid))""")
 
+
+
+def _vote(i: int) -> str:
+    return f"""
+n{i} AS (SELECT e.d AS vid, q.pid, count(*) AS n FROM e JOIN q{i} q ON q.vid = e.s GROUP BY ALL),
+q{i + 1} AS (SELECT v.vid, coalesce((SELECT pid FROM n{i} x WHERE x.vid = v.vid ORDER BY n DESC, pid LIMIT 1), v.pid) AS pid FROM q{i} v)"""
+
+
+def _one_way_round(i: int) -> str:
+    return f"""
+q{i + 1} AS (SELECT v.vid, 0.85 * coalesce(any_value(x.got), 0) + 0.15 / any_value(n.n) AS pr
+  FROM v CROSS JOIN n LEFT JOIN (SELECT u.d AS vid, sum(q.pr / deg.k) AS got FROM und u JOIN q{i} q ON q.vid = u.s JOIN deg ON deg.s = u.s GROUP BY 1) x ON x.vid = v.vid GROUP BY v.vid)"""
+
+
 ORACLES: dict[str, str] = {
     "vertex_count": _B + "SELECT count(*) AS vertices FROM v",
     "edge_count": _B + "SELECT count(*) AS edges FROM e",
@@ -312,6 +396,27 @@ gap AS (SELECT b.it, max(abs(b.pr - a.pr)) AS gap FROM r a JOIN r b ON b.vid = a
     "fullinfo_roundtrip": _G + "SELECT s AS src, d AS dst, ss AS src_sgid, ds AS dst_sgid, dp AS dst_pid FROM f",
     "metis_export": _B + ", o AS (SELECT vid, row_number() OVER (ORDER BY vid) AS n FROM v) SELECT 0::BIGINT AS line, (SELECT count(*) FROM v)::VARCHAR || ' ' || (SELECT count(*) FROM und)::VARCHAR AS value UNION ALL SELECT a.n, string_agg(b.n::VARCHAR, ' ' ORDER BY b.n) FROM e JOIN o a ON a.vid = e.s JOIN o b ON b.vid = e.d GROUP BY a.n",
     "blogel_export": _B + "SELECT s::VARCHAR || chr(9) || count(*)::VARCHAR || ' ' || string_agg(d::VARCHAR, ' ' ORDER BY d) AS value FROM e GROUP BY s",
+    "partition_range": _B + ", b AS (SELECT min(vid) AS low, greatest(1, ceil((max(vid) - min(vid) + 1) / 4.0)) AS width FROM v) SELECT vid, least(floor((vid - low) / width), 3)::INTEGER AS pid FROM v, b",
+    "partition_labels": _with(_BASE, ", ".join(["\nq0 AS (SELECT vid, (vid % 4)::INTEGER AS pid FROM v)", *(_vote(i) for i in range(3))])) + "SELECT vid, pid FROM q3",
+    "partition_map_roundtrip": _B + "SELECT vid, (vid % 4)::INTEGER AS pid FROM v",
+    "snap_roundtrip": _B + "SELECT s AS src, d AS dst FROM und",
+    "fullinfo_pid_base": _G + "SELECT s AS src, d AS dst, ss AS src_sgid, ds AS dst_sgid, dp AS dst_pid FROM f",
+    "subgraph_files_roundtrip": _B + "SELECT s AS src, d AS dst, ((s + d) % 100)::DOUBLE AS value FROM e",
+    "subgraph_files_vertices": _G + "SELECT vid, pid, sgid, 0.0::DOUBLE AS value FROM sg",
+    "subgraph_files_neighbours": _G + "SELECT DISTINCT ss AS sgid, ds AS neighbour_sgid, dp AS neighbour_pid FROM f WHERE ss <> ds",
+    "relabel_map_export": _B + "SELECT row_number() OVER (ORDER BY vid)::VARCHAR || ' ' || vid::VARCHAR AS value FROM v",
+    "gml_export": _B + """SELECT 0 AS part, 'graph [' || chr(10) || '  directed 1' AS value UNION ALL SELECT 1, '  node [ id ' || vid || ' ]' FROM v
+UNION ALL SELECT 2, '  edge [ source ' || s || ' target ' || d || ' ]' FROM e UNION ALL SELECT 3, ']'""",
+    "blogel_multiset_export": "SELECT src::VARCHAR || chr(9) || sum(n)::VARCHAR || ' ' || string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS value FROM (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY src",
+    "distance_export": _with(_BASE, """
+hop(vid, dist) USING KEY (vid) AS (
+  SELECT min(vid), 0 FROM v UNION
+  SELECT u.d, min(r.dist + 1) FROM hop AS r JOIN und u ON r.vid = u.s LEFT JOIN recurring.hop AS o ON o.vid = u.d GROUP BY u.d, o.dist HAVING o.dist IS NULL OR min(r.dist + 1) < o.dist)""") + "SELECT v.vid::VARCHAR || chr(9) || coalesce(dist, 32767)::VARCHAR AS value FROM v LEFT JOIN hop USING (vid)",
+    "triangle_value_export": _G + f", t AS ({_TRI}) SELECT (CASE WHEN x.sgid = y.sgid OR x.sgid = z.sgid THEN x.sgid ELSE z.sgid END)::VARCHAR || chr(9) || count(*)::VARCHAR AS value FROM t JOIN sg x ON x.vid = a JOIN sg y ON y.vid = b JOIN sg z ON z.vid = c GROUP BY CASE WHEN x.sgid = y.sgid OR x.sgid = z.sgid THEN x.sgid ELSE z.sgid END",
+    "core_export": _CORE + "SELECT vid::VARCHAR || ' ' || core::VARCHAR AS value FROM final",
+    "directed_components": _CC + "SELECT vid, c AS component FROM cc",
+    "directed_degrees": _B + "SELECT vid, (SELECT count(*) FROM und WHERE s = vid) AS out_degree, (SELECT count(*) FROM und WHERE d = vid) AS in_degree FROM v",
+    "pagerank_dangling": _with(_BASE, ", ".join(["\nn AS (SELECT count(*) AS n FROM v), deg AS (SELECT s, count(*) AS k FROM und GROUP BY 1), q0 AS (SELECT vid, 1.0::DOUBLE / n AS pr FROM v, n)", *(_one_way_round(i) for i in range(5))])) + "SELECT vid, round(pr, 8) AS rank FROM q5",
     "bsp_vertex_count": _G + "SELECT DISTINCT sgid, (SELECT count(*) FROM v) AS vertices FROM sg",
     "bsp_connected_components": _META + "SELECT vid AS sgid, c AS component FROM mc",
     "bsp_bfs_hops": _HOPS + "SELECT vid, dist::INTEGER AS dist FROM hop",

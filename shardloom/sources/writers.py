@@ -84,6 +84,24 @@ def gml_lines(g: PropertyGraph) -> DataFrame:
     return ends.unionByName(nodes).unionByName(edges)
 
 
+def subgraph_file_lines(g: PropertyGraph, values: DataFrame | None = None, sep: str = "\t") -> DataFrame:
+    """sgid, value: for each subgraph a header ``sgid pid (sgid pid)*``, then ``vid value sink*``; rows of a subgraph together, the header first.
+
+    ``values``: vid and one more column, 0 where a vertex has none.
+    Write with ``write_lines(lines, path, "sgid")``: one file is one subgraph.
+    """
+    owner = g.vertices.select("sgid", "pid").distinct()
+    near = g.edges.where("is_remote").select(F.col("src_sgid").alias("sgid"), F.col("dst_sgid").alias("dst"), "dst_pid").distinct()
+    cells = _sinks(near, ["sgid"], F.struct("dst", F.concat_ws(sep, F.col("dst").cast("string"), F.col("dst_pid").cast("string")).alias("t")), sep)
+    # concat_ws leaves nulls out, so rows without sinks have no trailing separator
+    head = owner.join(cells, "sgid", "left").select("sgid", F.lit(None).cast("long").alias("vid"), F.concat_ws(sep, F.col("sgid").cast("string"), F.col("pid").cast("string"), "sinks").alias("value"))
+    sinks = _sinks(g.edges, ["src"], F.struct("dst", F.col("dst").cast("string").alias("t")), sep).withColumnRenamed("src", "vid")
+    rows = g.vertices.join(sinks, "vid", "left")
+    rows = rows.join(values.select("vid", F.col(values.columns[1]).alias("_value")), "vid", "left") if values is not None else rows.withColumn("_value", F.lit(None).cast("double"))
+    body = rows.select("sgid", "vid", F.concat_ws(sep, F.col("vid").cast("string"), F.coalesce(F.col("_value").cast("string"), F.lit("0")), "sinks").alias("value"))
+    return head.unionByName(body).repartition("sgid").sortWithinPartitions("sgid", F.asc_nulls_first("vid")).select("sgid", "value")
+
+
 def subgraph_value_lines(values: DataFrame) -> DataFrame:
     return values.select(text("sgid", values.columns[1]))
 
