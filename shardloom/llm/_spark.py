@@ -9,7 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from shardloom.functions.shipping import ship
 from shardloom.operators.fixpoint import shared_dir
 
-__all__ = ["discard", "shared_dir", "ship", "staged", "table", "workspace"]
+__all__ = ["discard", "shared_dir", "ship", "spare", "staged", "table", "without", "workspace"]
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has a column of that name: for columns that an operator needs for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, names: tuple[str, ...] | list[str], needed: tuple[str, ...] = ()) -> DataFrame:
+    """The table without columns of the names that an operator adds: its own replace them.  A column it reads can't be replaced."""
+    if clash := {n.lower() for n in names} & {n.lower() for n in needed}:
+        raise ValueError(f"columns that are read can't be replaced: {sorted(clash)}")
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
 
 def workspace(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
