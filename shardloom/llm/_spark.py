@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shardloom.functions.shipping import ship
 from shardloom.operators.fixpoint import shared_dir
 
-__all__ = ["discard", "shared_dir", "ship", "spare", "staged", "table", "without", "workspace"]
+__all__ = ["discard", "remove", "shared_dir", "ship", "spare", "staged", "table", "without", "workspace"]
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:
@@ -47,8 +47,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, df._staged_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

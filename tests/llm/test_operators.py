@@ -263,22 +263,41 @@ def test_warc_refuses_damage():
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 8)).astype(np.float32)
-    v[50] = v[51]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(400, None), (401, [float("nan")] * 8), (402, [None] + [1.0] * 7), (None, v[0].tolist()), (3, v[3].tolist()), (403, [1.0] * 5)]
-    points = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x")))
+    v[50:110] = v[51]  # a very common vector, with ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, v[3].tolist()), (20, v[20].tolist()), (3, v[3].tolist()), (40, v[51].tolist())]
+    useless = [(400, None), (401, [float("nan")] * 8), (402, [None] + [1.0] * 7), (None, v[0].tolist()), (403, [1.0] * 5), (405, [])]
+    frame = spark.createDataFrame(rows + useless, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("shard", "row", "id", "v", "query", "score", "rank")})
+    points = integer_vectors(frame)
+    whole = [(i, np.floor(np.array(x, np.float32).astype(float) * 64).astype(int)) for i, x in rows]
     want = []
-    whole = np.floor(v.astype(float) * 64).astype(int)
-    for q in range(0, 300, 20):
-        best = sorted((-int(whole[q] @ whole[c]), c) for c in range(300) if c != q)[:20]
-        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
-    for sizes in ({}, {"shard_rows": 60, "block": 4, "leaf": 8}):
-        assert sorted(map(tuple, exact_top_k(points, F.col("id") % 20 == 0, 20, **sizes).collect())) == want
+    for a, (q, x) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-int(x @ y), c) for b, (c, y) in enumerate(whole) if a != b)[:20]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    for sizes in ({}, {"shard_rows": 30, "leaf": 8}, {"shard_rows": 7, "leaf": 2}):
+        visits = []
+        assert sorted(map(tuple, exact_top_k(points, F.col("id") % 20 == 0, 20, visits=visits, **sizes).collect())) == sorted(want)
+        assert sum(visits) > 0
     assert exact_top_k(points.where("id < 3"), F.col("id") == 0, 20).count() == 2
     assert exact_top_k(points.limit(0), F.col("id") == 0).count() == 0
     huge = integer_vectors(spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, 5.0]), (2, [-3e9, 0.0])], "vec_id long, embedding array<double>"))
     assert [(r.vec_id, r.score) for r in exact_top_k(huge, F.col("id") == 0, 2).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
 
 
+def test_top_k_sends_queries_only_where_their_bound_reaches(spark):
+    """Vectors in tight clusters: most leaves can't hold a neighbour, and are never sent to."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 6)) * 10
+    v = (centres[np.arange(1200) % 24] + rng.normal(size=(1200, 6)) * 0.1).tolist()
+    points = integer_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>"))
+    visits = []
+    got = exact_top_k(points, F.col("id") % 20 == 0, 20, shard_rows=50, visits=visits).collect()
+    whole = np.floor(np.array(v) * 64).astype(int)
+    want = [(q, r + 1, c, -s) for q in range(0, 1200, 20) for r, (s, c) in enumerate(sorted((-int(whole[q] @ whole[c]), c) for c in range(1200) if c != q)[:20])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(visits) < 60 * 24 / 2
+
+
 def test_language_model_matches_formulas(docs, empty):
     rows = corpus()
     tokens = [words_of(t) + ["<end>"] for _, t, _ in rows]
