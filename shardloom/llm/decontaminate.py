@@ -2,19 +2,24 @@
 
 Words are runs of letters and digits, ASCII letters lower-cased.  Runs of
 ``least`` words of the benchmark items are the seeds.  A text is joined to the
-items with which it shares seeds; if those could cover enough of an item, the
-two are tiled: the longest common run of unmarked words is found by running
-Karp-Rabin and marked on both sides, again and again, down to ``least`` words,
-so passages in another order, or broken up, count in full.  An item's coverage
-is the marked share of its words.
+items with which it shares seeds.  The words that shared seeds reach bound an
+item's coverage; items are taken in order of that bound, and those whose bound is
+below the best coverage so far are left out.  With the others the text is tiled:
+the longest common run of unmarked words is found by running Karp-Rabin and
+marked on both sides, again and again, down to ``least`` words, so passages in
+another order, or broken up, count in full.  An item's coverage is the marked
+share of its words.
 
 Seeds go to the workers by broadcast, in blocks of at most ``BLOCK_WORDS``
-benchmark words; a larger benchmark takes several passes over the texts.
+benchmark words; a larger benchmark takes several passes over the texts, with
+what was found written to the shared folder between them, so that one block at
+a time is held.
 
 Defined cases: null and empty texts and items have no words and cover nothing;
 items with fewer words than a seed are one seed of all their words; null item
 ids are kept apart and reported as null; repeated items count alike, the
-smallest id is reported; ties of coverage go to the smallest id.
+smallest id is reported; ties of coverage go to the smallest id; an empty
+benchmark covers nothing; columns with the names of the two added are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
-from shardloom.llm._spark import ship
+from shardloom.llm._spark import discard, ship, staged, without
 from shardloom.llm._text import U64, buffer, mix, pieces, ranges, words
 from shardloom.llm.toxicity import _DELIMITERS
 
@@ -47,9 +52,13 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def tile(item: list[int], text: list[int], least: int) -> int:
-    """Words of the item that greedy tiling marks."""
-    free_item, free_text = [True] * len(item), [True] * len(text)
-    covered, size, mask = 0, len(item), (1 << 61) - 1
+    """Words of the item that greedy tiling marks; -1 in the text is no word."""
+    free_item, free_text = [True] * len(item), [t >= 0 for t in text]
+    longest = held = 0
+    for free in free_text:
+        held = held + 1 if free else 0
+        longest = max(longest, held)
+    covered, size, mask = 0, min(len(item), longest), (1 << 61) - 1
 
     def rolled(values: list[int], free: list[bool], k: int) -> Iterator[tuple[int, int]]:
         """Start and Karp-Rabin hash of each run of k unmarked words."""
@@ -90,7 +99,12 @@ def _seed_block(ids: list, h: np.ndarray, rows: np.ndarray, least: int) -> tuple
     owner = np.repeat(full, count[full] - least + 1)
     seed, item, place = seeds[starts], owner, starts - rows[:-1][owner]
     order = np.argsort(seed, kind="stable")
-    short = {tuple(h[rows[i] : rows[i + 1]].tolist()): int(i) for i in np.flatnonzero((count > 0) & (count < least))[::-1]}
+    short = {}
+    for k in range(1, least):
+        own = np.flatnonzero(count == k)
+        if len(own):  # items come in order of id, so the first of equal ones is the smallest
+            short[k] = np.unique(run_hashes(h, k)[rows[:-1][own]], return_index=True)
+            short[k] = short[k][0], own[short[k][1]]
     return seed[order], item[order], place[order], ids, h, rows, short
 
 
@@ -102,15 +116,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
     # counted before any of it is sent: each block holds at most BLOCK_WORDS words
     sized = items.select("item_id", "words", (F.floor(F.octet_length(F.coalesce("words", F.lit(""))) / 2) + 1).alias("n"))
     blocks = max(1, -(-int(sized.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
-    out = docs.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(None).cast("long")})
-    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType())])
+    out = without(docs, names, (text_col,)).withColumns({names[0]: F.lit(0.0), names[1]: F.lit(None).cast("long")})
+    schema = StructType([StructField(f.name, f.dataType) for f in out.schema.fields])
+    last = None
     for b in range(blocks):
         got = sized.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).select("item_id", "words").orderBy(F.col("item_id").isNull(), "item_id").toArrow().combine_chunks()
-        if not got.num_rows:
-            continue
-        column = got["words"].combine_chunks() if isinstance(got["words"], pa.ChunkedArray) else got["words"]
-        _, _, h, rows = words(*buffer(column), delimiters=_DELIMITERS)
-        out = out.mapInArrow(_tiler(spark.sparkContext.broadcast(_seed_block(got["item_id"].to_pylist(), h, rows, least)), text_col, names, least, threshold), schema)
+        if got.num_rows:
+            column = got["words"].combine_chunks() if isinstance(got["words"], pa.ChunkedArray) else got["words"]
+            _, _, h, rows = words(*buffer(column), delimiters=_DELIMITERS)
+            shared = spark.sparkContext.broadcast(_seed_block(got["item_id"].to_pylist(), h, rows, least))
+            out = out.mapInArrow(_tiler(shared, text_col, names, least, threshold), schema)
+            if b < blocks - 1:
+                out = staged(out, "tiled")
+                shared.destroy()
+                if last is not None:
+                    discard(spark, last)
+                last = out
     return out
 
 
@@ -123,45 +144,56 @@ def _tiler(shared, text_col: str, names: tuple[str, str], least: int, threshold:
         for part, data, offsets in pieces(batches, text_col):
             coverage, best = (part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
             _, _, h, rows = words(data, offsets, delimiters=_DELIMITERS)
-            runs = run_hashes(h, least)
-            at = np.flatnonzero(likely[runs >> U64(44)])
-            at = at[np.isin(runs[at], seed)]
-            row = np.searchsorted(rows, at, "right") - 1
-            inside = at + least <= rows[row + 1]
-            at, row = at[inside], row[inside]
-            lo, hi = np.searchsorted(seed, runs[at]), np.searchsorted(seed, runs[at], "right")
+
+            def offer(r: int, share: float, name: int | None) -> None:
+                if share > coverage[r] or share == coverage[r] and name is not None and share > 0 and (best[r] is None or name < best[r]):
+                    coverage[r], best[r] = share, name if share >= threshold else None
+
+            def located(k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Row and place of runs of k words within a row that are among the known."""
+                runs = run_hashes(h, k)
+                at = np.flatnonzero(likely[runs >> U64(44)]) if k == least else np.arange(len(runs))
+                at = at[np.isin(runs[at], known)]
+                row = np.searchsorted(rows, at, "right") - 1
+                inside = at + k <= rows[row + 1]
+                return row[inside], at[inside]
+
+            for k, (known, of) in short.items():
+                row, at = located(k, known)
+                first = of[np.searchsorted(known, run_hashes(h, k)[at])]
+                for r, i in sorted(set(zip(row.tolist(), first.tolist(), strict=True))):
+                    offer(r, 1.0, ids[i])
+            row, at = located(least, seed)
+            runs = run_hashes(h, least)[at]
+            lo, hi = np.searchsorted(seed, runs), np.searchsorted(seed, runs, "right")
             pair = ranges(lo, hi - lo)
             row, at = np.repeat(row, hi - lo), np.repeat(at, hi - lo)
-            # items of which the shared seeds cover enough, by row
             key = row * len(size) + item[pair]
             order = np.lexsort((at, key))
             key, at, spot = key[order], at[order], place[pair][order]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            bounded: list[tuple[int, float, int, int, int]] = []
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist() if len(cuts) else [], strict=True):
                 r, i = divmod(int(key[a]), len(size))
+                # words of the item that shared seeds reach
                 marked = np.zeros(size[i] + least, np.int64)
-                np.add.at(marked, np.unique(spot[a:b]), 1)
-                reach = np.convolve(marked, np.ones(least, np.int64))[: size[i]] > 0
-                if reach.sum() < max(threshold, coverage[r]) * size[i]:
+                marked[spot[a:b]] = 1
+                reach = int((np.convolve(marked, np.ones(least, np.int64))[: size[i]] > 0).sum())
+                bounded.append((r, -reach / int(size[i]), i, a, b))
+            for r, bound, i, a, b in sorted(bounded):
+                if -bound < coverage[r]:
                     continue
                 near = np.unique(at[a:b])
                 parts = np.split(near, np.flatnonzero(np.diff(near) > least) + 1)
                 text: list[int] = []
                 for p in parts:  # only words that lie in a common run can be marked
-                    text += [-1, *h[p[0] : p[-1] + least].tolist()]
-                share = tile(item_words[item_rows[i] : item_rows[i + 1]].tolist(), text, least) / int(size[i])
-                name = ids[i]
-                if share > coverage[r] or share == coverage[r] and name is not None and share > 0 and (best[r] is None or name < best[r]):
-                    coverage[r], best[r] = share, name if share >= threshold else None
-            if short:
-                for r in range(part.num_rows):
-                    own = h[rows[r] : rows[r + 1]].tolist()
-                    for k in {len(x) for x in short}:
-                        for p in range(len(own) - k + 1):
-                            i = short.get(tuple(own[p : p + k]))
-                            if i is not None and coverage[r] < 1:
-                                coverage[r], best[r] = 1.0, ids[i]
+                    text += [-1, *_positive(h[p[0] : p[-1] + least])]
+                offer(r, tile(_positive(item_words[item_rows[i] : item_rows[i + 1]]), text, least) / int(size[i]), ids[i])
             columns = {**{n: part.column(k) for k, n in enumerate(part.schema.names)}, names[0]: pa.array(coverage, pa.float64()), names[1]: pa.array(best, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
+
+
+def _positive(h: np.ndarray) -> list[int]:
+    return (h >> U64(1)).tolist()

@@ -401,3 +401,55 @@ def test_pipeline_stages_hold_on_small_tables(spark, tmp_path, docs, labels):
         kept = kept.cache()
         assert kept.count() > 0, name
     assert 12 not in {r.doc_id for r in kept.collect()}
+
+
+def greedy_coverage(item, text, least):
+    """Plain greedy string tiling: the longest common run of unmarked words, leftmost in the text, then in the item."""
+    free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for b in range(len(text)):
+            for a in range(len(item)):
+                k = 0
+                while a + k < len(item) and b + k < len(text) and item[a + k] == text[b + k] and free_i[a + k] and free_t[b + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, a, b)
+        k, a, b = best
+        if k < least:
+            return covered
+        free_i[a : a + k] = free_t[b : b + k] = [False] * k
+        covered += k
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 60])
+def test_decontamination_equals_tiling_of_all_pairs(spark, monkeypatch, block_words):
+    from shardloom.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "BLOCK_WORDS", block_words)
+    rng = random.Random(21)
+    vocabulary = ["w" + str(i) for i in range(300)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (40, 40, 12, 7, 4, 3, 2, 60)]
+    items.append(list(items[0]))
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            i = rng.choice(items)
+            a = rng.randrange(len(i))
+            words += i[a : a + rng.randint(1, 25)] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 3))]
+        texts.append(words)
+    texts.append(["zz", *items[0][:19], "yy"])
+    bench = spark.createDataFrame([(100 - i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"coverage": F.lit("mine"), "ITEM_ID": F.lit(5)})
+    out = decontaminate(docs, bench)
+    assert out.columns == ["doc_id", "text", "coverage", "item_id"]
+    for r in out.collect():
+        shares = []
+        for i, x in enumerate(items):
+            t = texts[r.doc_id]
+            whole = any(t[k : k + len(x)] == x for k in range(len(t)))
+            shares.append((-(1.0 * whole if len(x) < 4 else greedy_coverage(x, t, 4) / len(x)), 100 - i))
+        share, item = min(shares)
+        assert r.coverage == pytest.approx(-share) and r.item_id == (item if -share >= 0.5 else None), r
+    assert next(r.coverage for r in out.collect() if r.doc_id == 60) == pytest.approx(19 / 40)
