@@ -3,21 +3,26 @@
 A window is a string of ``length`` bytes.  A byte goes if a window over it also
 starts anywhere else, in the same text or another.
 
-1. Copies.  Texts are grouped by 128 bits of hash.  A text that occurs twice
-   goes whole (if it has a window); it stays in the search once, for the others.
+1. Copies.  Texts are grouped by 128 bits of hash; texts that share the first 64
+   only get another key.  A text that occurs twice goes whole (if it has a
+   window); it stays in the search once, for the others.
 2. Anchors.  Every window is assigned to its anchor, the leftmost of its
    ``gram``-byte strings with the smallest hash.  Equal windows have equal anchors,
    so only windows whose anchor occurs twice need a look.  Anchors are counted
-   with partial aggregation.
+   with partial aggregation; counts of the commonest ones are broadcast.
 3. Segments.  The windows of one anchor occurrence are a segment of text, sent to
    the bucket of that anchor.  An anchor with more than ``HOT`` occurrences (a
    common line, in many contexts) is replaced by anchors of nearly a whole window,
-   which split it by context.  Equal segments of a bucket are kept once.
+   which split it by context.  Equal segments are combined before they are sent:
+   all their windows are repeats, so their places are settled there and then, and
+   one segment goes on for the comparison with others.
 4. Suffix arrays.  The distinct segments of some buckets are joined into one text
-   of a few MB.  Only suffixes smaller than their successors are sorted; all
-   others are induced from them by one scan over the buckets of first bytes.
-   Then the common prefixes of neighbours show the windows that are repeated.
-   Sorting looks at ``length`` bytes, all that the question needs.
+   of at most ``CHUNK`` bytes.  Only suffixes smaller than their successors are
+   sorted; all others are induced from them by one scan over the buckets of first
+   bytes.  Then the common prefixes of neighbours show the windows that are
+   repeated.  Sorting looks at ``length`` bytes, all that the question needs.
+   A bucket whose distinct segments exceed ``CHUNK`` is not gathered: its windows
+   are passed on one by one to buckets of their own hash, for a second pass.
 5. The repeated windows of a text are merged into spans and cut out.
 
 Matches never cross texts.  Defined cases: null and empty texts have 0 bytes,
@@ -44,9 +49,10 @@ GRAM = 64
 #: Anchors with more occurrences are split by context.
 HOT = 2048
 HOT_MARGIN = 10
-#: Segment bytes in one suffix array; windows looked at in one step of the scan.
+#: Segment bytes in one suffix array; windows looked at in one step of the scan; segment bytes that a task holds to combine equal ones.
 CHUNK = 4 << 20
 BLOCK = 1 << 20
+COMBINE = 16 << 20
 BROADCAST_ROWS = 200_000
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -126,12 +132,31 @@ def _anchor_rows(length: int, gram: int):
 
 
 def _segments(length: int):
-    """bucket, c1, start, run, segment from a text and the packed runs it is asked for."""
+    """Segments of texts (key, text and the packed runs they are asked for), equal ones combined.
+
+    A row with a segment: ``several`` if it is known to be repeated, else
+    (c1, start) is its one place so far.  A row without: c1 loses size bytes at start.
+    """
+    size = pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "c1", "start", "run", "segment", "alone"]
+        seen: dict[tuple[int, bytes], tuple[int, int] | None] = {}
+        whole_spans: list[tuple[int, int, int]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = [(b, *(place or (0, 0)), 0, segment, place is None) for (b, segment), place in seen.items()]
+            rows += [(c1 ^ lo, c1, lo, n, None, True) for c1, lo, n in whole_spans]
+            for a in range(0, len(rows), 4096):
+                bucket, c1, start, n, segment, several = zip(*rows[a : a + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(c1, pa.int64()), pa.array(start, pa.int64()), pa.array(n, size), pa.array(segment, pa.binary()), pa.array(several)], ["bucket", "c1", "start", "size", "segment", "several"])
+            seen.clear()
+            whole_spans.clear()
+            held = 0
+
         for part, data, offsets in pieces(batches, "text", 2 << 20):
-            keys = part.column(part.schema.get_field_index("c1")).to_numpy()
+            keys = part.column(part.schema.get_field_index("c1")).to_pylist()
             asked, alone = (part.column(part.schema.get_field_index(c)) for c in ("runs", "alone"))
             for r in range(part.num_rows):
                 text = data[offsets[r] : offsets[r + 1]]
@@ -142,15 +167,32 @@ def _segments(length: int):
                 if len(hot):
                     more = anchors(text, ranges(hot[:, 0], hot[:, 1]), length, length - HOT_MARGIN)
                     start, count, bucket = np.concatenate([start, more[0]]), np.concatenate([count, more[1]]), np.concatenate([bucket, more[2].view(np.int64)])
-                whole = text.tobytes()
-                for a in range(0, len(start), 4096):
-                    s, c = start[a : a + 4096], count[a : a + 4096]
-                    cut = [whole[p : p + n + length - 1] for p, n in zip(s.tolist(), c.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 4096]), pa.array(np.full(len(s), keys[r])), pa.array(s), pa.array(c.astype(np.int32)), pa.array(cut, pa.binary()), pa.array(np.full(len(s), alone[r].as_py()))], names)
+                whole, c1, once = text.tobytes(), keys[r], alone[r].as_py()
+                for p, n, b in zip(start.tolist(), (count + length - 1).tolist(), bucket.tolist(), strict=True):
+                    segment = whole[p : p + n]
+                    held += _meet(seen, (b, segment), (c1, p) if once else None, whole_spans)
+                    if held > COMBINE:
+                        yield from flush()
+        yield from flush()
 
     return run
 
 
+def _meet(seen: dict, segment: tuple[int, bytes], place: tuple[int, int] | None, spans: list[tuple[int, int, int]]) -> int:
+    """Note a place of a segment, None for several; of segments seen before all places are spans.  The bytes that this holds."""
+    n = len(segment[1])
+    if segment not in seen:
+        seen[segment] = place
+        return n + 64
+    before = seen[segment]
+    if before is not None:
+        spans.append((*before, n))
+        seen[segment] = None
+    if place is not None:
+        spans.append((*place, n))
+    return 24
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Order of all suffixes by their first ``depth`` bytes at least, by two-stage sorting.
 
@@ -214,26 +256,24 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefix_reaches(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the suffixes at a and b have ``depth`` bytes in common; both have as many."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    out, live = np.zeros(len(a), bool), np.arange(len(a))
-    for at in [*range(0, depth - 7, 8), max(depth - 8, 0)] if depth >= 8 else []:
-        same = (eight[a[live] + at] == eight[b[live] + at]).all(1)
-        live = live[same]
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Number of bytes, up to ``depth``, that the suffixes at a and b have in common; both have as many."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+    out, live = np.full(len(a), depth, np.int64), np.arange(len(a))
+    for at in range(0, depth, 8):
+        other = eight[np.minimum(a[live] + at, len(eight) - 1)] != eight[np.minimum(b[live] + at, len(eight) - 1)]
+        ends = other.any(1)
+        out[live[ends]] = np.minimum(at + other[ends].argmax(1), depth)
+        live = live[~ends]
         if not len(live):
-            return out
-    if depth < 8:
-        live = live[[bool((text[x : x + depth] == text[y : y + depth]).all()) for x, y in zip(a, b, strict=True)]]
-    out[live] = True
+            break
     return out
 
 
-def repeated_windows(segments: list[bytes], runs: list[int], several: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(segments: list[bytes], several: np.ndarray, length: int) -> np.ndarray:
     """For the windows of all segments in turn: does the window occur again?  ``several``: segments that stand for more than one place."""
     sizes = np.array([len(s) for s in segments]) + 1
-    runs = np.asarray(runs, np.int64)
+    runs = sizes - length
     text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     begins = np.cumsum(sizes) - sizes
     at = ranges(begins, runs)
@@ -242,50 +282,81 @@ def repeated_windows(segments: list[bytes], runs: list[int], several: np.ndarray
     again = np.repeat(several, runs)
     order = suffix_array(text, length)
     order = order[number[order] >= 0]
-    same = common_prefix_reaches(text, order[:-1], order[1:], length)
+    same = common_prefixes(text, order[:-1], order[1:], length) >= length
     again[number[order[:-1][same]]] = True
     again[number[order[1:][same]]] = True
     return again
 
 
-def _repeats(length: int):
-    """c1, lo, hi: bytes of repeated windows; rows come sorted by bucket."""
+def _repeats(length: int, chunk: int, overflow: bool = True):
+    """c1, lo, hi: bytes of repeated windows; or, with a segment, a window of a bucket too large to be gathered.  Rows come sorted by bucket."""
+    names = ["c1", "lo", "hi", "bucket", "segment", "several"]
+
+    def pack(spans: list[tuple[int, int, int]], windows: list[tuple[int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(spans), 1 << 16):
+            some = spans[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in some], pa.int64()) for i in range(3)], pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.bool_())], names)
+        if windows:
+            hashes = mix(gram_hashes(np.frombuffer(b"".join(w for _, _, w, _ in windows), np.uint8), length)[::length]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in windows], pa.int64()), pa.array([x[1] for x in windows], pa.int64()), pa.nulls(len(windows), pa.int64()), pa.array(hashes), pa.array([x[2] for x in windows], pa.binary()), pa.array([x[3] for x in windows])], names)
 
-    def solve(rows: list[tuple[int, int, int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
-        places: dict[tuple[int, bytes], list[tuple[int, int, bool]]] = {}
-        for bucket, c1, start, _, segment, alone in rows:
-            places.setdefault((bucket, segment), []).append((c1, start, alone))
-        segments = [s for _, s in places]
-        runs = [len(s) - length + 1 for s in segments]
-        several = np.array([len(set(p)) > 1 or not p[0][2] for p in places.values()])
-        again = repeated_windows(segments, runs, several, length)
+    def windows_of(segment: bytes, place: tuple[int, int] | None) -> list[tuple[int, int, bytes, bool]]:
+        c1, start = place or (0, 0)
+        return [(c1, start + i, segment[i : i + length], place is None) for i in range(len(segment) - length + 1)]
+
+    def solve(held: dict[tuple[int, bytes], tuple[int, int] | None]) -> list[tuple[int, int, int]]:
+        segments = [s for _, s in held]
+        again = repeated_windows(segments, np.array([place is None for place in held.values()]), length)
         out: list[tuple[int, int, int]] = []
         done = 0
-        for run, where in zip(runs, places.values(), strict=True):
-            hits = np.flatnonzero(again[done : done + run])
+        for segment, place in zip(segments, held.values(), strict=True):
+            run = len(segment) - length + 1
+            if place is not None and len(hits := np.flatnonzero(again[done : done + run])):
+                c1, start = place
+                cut = np.flatnonzero(np.diff(hits) > length)
+                first, last = hits[np.concatenate([[0], cut + 1])], hits[np.concatenate([cut, [len(hits) - 1]])]
+                out += [(c1, start + lo, start + hi + length) for lo, hi in zip(first.tolist(), last.tolist(), strict=True)]
             done += run
-            if not len(hits):
-                continue
-            cut = np.flatnonzero(np.diff(hits) > length)
-            spans = list(zip(hits[np.concatenate([[0], cut + 1])].tolist(), (hits[np.concatenate([cut, [len(hits) - 1]])] + length).tolist(), strict=True))
-            for c1, start, alone in set(where):
-                if alone:
-                    out += [(c1, start + lo, start + hi) for lo, hi in spans]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["c1", "lo", "hi"])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: dict[tuple[int, bytes], tuple[int, int] | None] = {}  # whole buckets, then the one under way
+        current, spilling, before, size = None, False, 0, 0
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                for row in zip(*(c.to_pylist() for c in batch.slice(a, 2048).columns), strict=True):
-                    if size >= CHUNK and row[0] != held[-1][0]:
-                        yield from solve(held)
-                        held, size = [], 0
-                    held.append(row)
-                    size += len(row[4])
+                spans, windows, whole = [], [], []
+                for bucket, c1, start, n, segment, several in zip(*(c.to_pylist() for c in batch.slice(a, 2048).columns), strict=True):
+                    if segment is None:
+                        spans.append((c1, start, start + n))
+                        continue
+                    place = None if several else (c1, start)
+                    if bucket != current:
+                        current, spilling = bucket, False
+                        if size >= chunk:
+                            spans += solve(held)
+                            held, size = {}, 0
+                        before = len(held)
+                    if spilling:
+                        windows += windows_of(segment, place)
+                    else:
+                        size += _meet(held, (bucket, segment), place, whole)
+                        if overflow and size > 2 * chunk:
+                            if before:  # the buckets before this one fit
+                                rest = list(held.items())[before:]
+                                spans += solve(dict(list(held.items())[:before]))
+                                held, before = dict(rest), 0
+                                size = sum(len(s) + 64 for _, s in held)
+                            if size > chunk:
+                                spilling = True
+                                for (_, s), p in held.items():
+                                    windows += windows_of(s, p)
+                                held, size = {}, 0
+                    if len(windows) > 4096:
+                        yield from pack([], windows)
+                        windows = []
+                yield from pack(spans + [(c1, lo, lo + n) for c1, lo, n in whole], windows)
         if held:
-            yield from solve(held)
+            yield from pack(solve(held), [])
 
     return run
 
@@ -306,19 +377,56 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("c1"), F.xxhash64(F.lit(5), text).alias("c2"))
 
 
+def apart(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """The rows with other keys c1 for texts that share theirs with another text."""
+    if clashing is None:
+        return rows
+    joined = rows.join(clashing, F.col("c1") == F.col("_c1"), "left")
+    return joined.withColumn("c1", F.when(F.col("_c1").isNotNull(), F.xxhash64(F.lit(77), "c1", "c2")).otherwise(F.col("c1"))).drop("_c1")
+
+
+def clashing_keys(described: DataFrame) -> DataFrame | None:
+    """_c1: first halves of keys (c1, c2) that several texts share.  Of 64-bit hashes some are expected at 10^10 texts."""
+    found = staged(described.groupBy("c1").agg(F.min("c2").alias("a"), F.max("c2").alias("b")).where("a <> b").select(F.col("c1").alias("_c1")), "clashing-keys")
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= BROADCAST_ROWS else found
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """c1 and r (start, run, anchor, hot) of anchor occurrences whose anchor occurs again.
+
+    Anchors with more occurrences than a quarter of an average task's rows are
+    few for each task; their counts are broadcast, the others are joined by shuffle.
+    """
+    spark = found.sparkSession
+    counts = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "suffix-counts")
+    rows = found.count()
+    bound = max(HOT, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    common = F.broadcast(counts.where(F.col("n") > bound))
+    out = found.join(common.select("anchor"), "anchor", "left_anti").join(counts.where(F.col("n") <= bound), "anchor").unionByName(found.join(common, "anchor"))
+    return out.select("c1", F.struct("start", "run", "anchor", (F.col("n") > HOT).cast("int").alias("hot")).alias("r"))
+
+
 def repeated_spans(base: DataFrame, described: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """c1 and its removed spans (lo, hi), for texts that occur once; unmerged, staged."""
+    spark = base.sparkSession
     found = staged(base.where(F.octet_length("text") >= length).select("c1", "text").mapInArrow(_anchor_rows(length, gram), "c1 bigint, start bigint, run int, anchor bigint"), "suffix-anchors")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    runs = found.join(counts, "anchor").select("c1", F.struct("start", "run", "anchor", (F.col("n") > HOT).cast("int").alias("hot")).alias("r"))
     # a text several tasks met has its runs several times
-    runs = runs.groupBy("c1").agg(F.collect_set("r").alias("runs"))
+    runs = _counted(found).groupBy("c1").agg(F.collect_set("r").alias("runs"))
     keeper = described.groupBy("c1").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
-    asked = runs.join(keeper, "c1").select("c1", "runs", "keeper", (F.col("copies") == 1).alias("alone"))
+    asked = staged(runs.join(keeper, "c1").select("c1", "runs", "keeper", (F.col("copies") == 1).alias("alone")), "suffix-asked")
+    discard(spark, found)
     texts = base.join(asked, (base["c1"] == asked["c1"]) & base["doc_id"].eqNullSafe(asked["keeper"])).select(base["c1"], "text", "runs", "alone")
-    cut = texts.mapInArrow(_segments(length), "bucket bigint, c1 bigint, start bigint, run int, segment binary, alone boolean")
-    spans = staged(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length), "c1 bigint, lo bigint, hi bigint"), "suffix-spans")
-    discard(spans.sparkSession, found)
+    cut = texts.mapInArrow(_segments(length), "bucket bigint, c1 bigint, start bigint, size int, segment binary, several boolean")
+    kind = "c1 bigint, lo bigint, hi bigint, bucket bigint, segment binary, several boolean"
+    first = staged(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, CHUNK), kind), "suffix-spans")
+    spans = first.where("segment IS NULL").select("c1", "lo", "hi")
+    large = first.where("segment IS NOT NULL")
+    if not large.isEmpty():
+        windows = large.select("bucket", "c1", F.col("lo").alias("start"), F.lit(0).alias("size"), "segment", "several")
+        second = staged(windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, CHUNK, False), kind), "suffix-spans")
+        spans = spans.unionByName(second.select("c1", "lo", "hi"))
+    discard(spark, asked)
     return spans
 
 
@@ -353,6 +461,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     ship(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
     described = staged(base.select("doc_id", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-texts")
+    clashing = clashing_keys(described)
+    base, described = apart(base, clashing), apart(described, clashing)
     several = described.groupBy("c1", "c2").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.lit(True).alias("again"))
     found = repeated_spans(base, described, length, gram).groupBy("c1").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = staged(found.mapInArrow(_merged, "c1 bigint, spans array<struct<lo: bigint, hi: bigint>>"), "suffix-merged")

@@ -160,7 +160,7 @@ def test_suffix_array_is_sorted():
             t = rng.integers(0, a, n).astype(np.uint8)
             raw = t.tobytes()
             assert suffix_array(t, 1 << 20).tolist() == sorted(range(n), key=lambda i: raw[i:])
-    again = repeated_windows([b"abcdefgh", b"xxabcdefyy"], [3, 5], np.array([False, False]), 6)
+    again = repeated_windows([b"abcdefgh", b"xxabcdefyy"], np.array([False, False]), 6)
     assert again.tolist() == [True, False, False, False, False, True, False, False]
 
 
@@ -453,3 +453,59 @@ def test_decontamination_equals_tiling_of_all_pairs(spark, monkeypatch, block_wo
         share, item = min(shares)
         assert r.coverage == pytest.approx(-share) and r.item_id == (item if -share >= 0.5 else None), r
     assert next(r.coverage for r in out.collect() if r.doc_id == 60) == pytest.approx(19 / 40)
+
+
+def naive_windows(texts, length):
+    """Bytes that go and runs of them, by text, from a count of all windows."""
+    count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append((int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())))
+    return out
+
+
+def test_suffix_dedup_bears_one_line_in_many_contexts(spark, monkeypatch):
+    """The bucket of a common line is larger than a task may hold: its windows go on one by one, results stay the same."""
+    from shardloom.llm import suffixdedup as module
+
+    rng = random.Random(17)
+    line = " ".join(prose(rng, 60))[:200]
+    texts = [" ".join(prose(rng, 12)) + line + " ".join(prose(rng, 12)) for _ in range(300)] + [" ".join(prose(rng, 80)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = naive_windows([t.encode() for t in texts], 200)
+    for chunk in (4 << 20, 4000):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    held, real = [], module.repeated_windows
+    monkeypatch.setattr(module, "repeated_windows", lambda segments, several, length: held.append(sum(map(len, segments))) or real(segments, several, length))
+    rows = [(7, i, 0, 0, t.encode()[:230], False) for i, t in enumerate(texts)] + [(9, 900 + i, 0, 0, t.encode()[-230:], False) for i, t in enumerate(texts[:10])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], ["bucket", "c1", "start", "size", "segment", "several"])
+    out = pa.Table.from_batches(list(module._repeats(200, 4000)(iter([batch]))))
+    assert held and max(held) <= 2 * 4000 + 300
+    spilled = out.filter(pa.compute.is_valid(out["segment"]))
+    assert set(zip(spilled["c1"].to_pylist(), spilled["lo"].to_pylist())) == {(i, j) for i in range(len(texts)) for j in range(31)}
+
+
+def test_common_prefixes_have_their_lengths():
+    from shardloom.llm.suffixdedup import common_prefixes
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 2, 400).astype(np.uint8)
+    a, b = rng.integers(0, 350, 300), rng.integers(0, 350, 300)
+    for depth in (5, 8, 30, 50):
+        want = [next((k for k in range(depth) if text[x + k] != text[y + k]), depth) for x, y in zip(a, b)]
+        assert common_prefixes(text, a, b, depth).tolist() == want
+
+
+def test_texts_with_equal_halves_of_keys_stay_apart(spark):
+    from shardloom.llm.suffixdedup import apart, clashing_keys
+
+    rows = spark.createDataFrame([(1, 5, 6), (2, 5, 7), (3, 5, 7), (4, 8, 8)], "doc_id long, c1 long, c2 long")
+    out = {r.doc_id: r.c1 for r in apart(rows, clashing_keys(rows)).collect()}
+    assert out[4] == 8 and out[2] == out[3] and len({out[1], out[2], out[4]}) == 3
+    assert clashing_keys(rows.where("doc_id > 1")) is None
