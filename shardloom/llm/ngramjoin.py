@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of texts on word n-grams, with count-vector R-trees.
 
 1. Copies.  Each text becomes its set of hashed n-grams; texts with the same
-   set form one class, so copies are never paired.
+   set form one class, so copies are never paired.  A class is named by 64 bits;
+   classes that share them and differ in another 64 get other names.
 2. Order.  Any order of the n-grams keeps the next step exact; common ones are
    put last.  Common are those met several times within one task, the
    commonest ``HOT_LIMIT`` of them; the others are in order of their rarest
@@ -11,9 +12,10 @@
 3. Prefixes.  Two classes at or above the threshold t share one of the first
    n - ceil(t n) + 1 n-grams in that order.  The smallest class that has an n-gram
    in its prefix is the hub of all others, and a hub's classes are a shard: pairs
-   that share a prefix n-gram share a shard.  A shard beyond ``BLOCK`` classes is
-   cut into blocks, and each pair of blocks is a cell of its own; others are one
-   cell.  No cell holds more than two blocks, whatever the shard.
+   that share a prefix n-gram share a shard.  A shard beyond ``BLOCK`` classes, or
+   ``BLOCK_GRAMS`` n-grams where whole sets are compared, is cut into blocks, and
+   each pair of blocks is a cell of its own; others are one cell.  No cell holds
+   more than two blocks, whatever the shard.
 4. R-tree.  n-grams are hashed into groups and a class is the point of its
    counts by group.  The overlap of two sets is at most the sum of coordinate
    minima, and for a node of the tree that of the query with the node's upper
@@ -42,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shardloom.llm._spark import ship, staged
+from shardloom.llm._spark import discard, ship, spare, staged
 from shardloom.llm._text import U64, distinct, mix, pieces, ranges, shingles, words
 from shardloom.operators.fixpoint import components
 
 GROUPS = 64
-BLOCK = 4096
+BLOCK, BLOCK_GRAMS = 4096, 1 << 20
+#: Bytes of text that a task gathers before it compares the cells it has.
+GATHER_BYTES = 16 << 20
 LEAF = 64
 #: An n-gram met so often within one task may be common; so many of these are kept.
 HOT_LOCAL, HOT_LIMIT = 4, 1_000_000
@@ -73,6 +77,12 @@ def _class_keys(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
         return mix(_sums(mix(values), rows) + size), mix(_sums(mix(values ^ U64(0xA5A5A5A5DEADBEEF)), rows) ^ size)
 
 
+def _names(values: np.ndarray, rows: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """The class of each row's set; ``clashing``: first halves of keys that several classes share."""
+    a, b = _class_keys(values, rows)
+    return np.where(np.isin(a, clashing), mix(a ^ mix(b)), a) if len(clashing) else a
+
+
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     """Smallest overlap with which sets of n and m reach the Jaccard threshold num / den."""
     return -((-num * (n + m)) // (num + den))
@@ -153,7 +163,7 @@ def _word_levels(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return known, level
 
 
-def _prefixes(n: int, num: int, den: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(n: int, num: int, den: int, shared, clashing: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, known, level = shared.value
         likely = np.zeros(1 << 20, bool)
@@ -177,7 +187,7 @@ def _prefixes(n: int, num: int, den: int, shared) -> Callable[[Iterator[pa.Recor
                 keep = np.ones(b - a, bool)
                 keep[1:] = some[1:] != some[:-1]
                 order, some = order[keep], some[keep]
-                key, _ = _class_keys(some, np.array([0, len(some)]))
+                key = _names(some, np.array([0, len(some)]), clashing)
                 take = len(some) - least_overlap_alone(len(some), num, den) + 1 if len(some) else 0
                 token.append(some[np.argsort(rank[order], kind="stable")[:take]])
                 size.append(take)
@@ -212,11 +222,11 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "c1"])
 
 
-def _points(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _points(n: int, clashing: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in pieces(batches, "text"):
             values, rows = _sets(data, offsets, n)
-            a, _ = _class_keys(values, rows)
+            a = _names(values, rows, clashing)
             owner = np.repeat(np.arange(len(a)), np.diff(rows))
             count = np.bincount(owner * GROUPS + (mix(values) % U64(GROUPS)).astype(np.int64), minlength=len(a) * GROUPS).astype(np.int32)
             packed = [count[i : i + GROUPS].tobytes() for i in range(0, len(count), GROUPS)]
@@ -268,21 +278,24 @@ def _fit(q: np.ndarray, n: np.ndarray, c: np.ndarray, row: np.ndarray, node: np.
 
 
 def _cells(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.Table]:
-    """Whole cells, at least so many rows together, of rows sorted by cell."""
+    """Whole cells, about so many rows or GATHER_BYTES together, of rows sorted by cell."""
     held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least or not batch.num_rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        cell = table["cell"].to_numpy()
-        whole = int(np.searchsorted(cell, cell[-1]))
-        if whole:
-            yield table.slice(0, whole)
-        held, rows = table.slice(whole).combine_chunks().to_batches(), table.num_rows - whole
-        least = max(1 << 14, rows + (1 << 12))
+    rows = size = 0
+    for whole in batches:
+        # a batch may hold many long texts: it is taken in parts
+        step = max(1, min(whole.num_rows, int(whole.num_rows * (GATHER_BYTES / 4) / max(whole.nbytes, 1))))
+        for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.get_total_buffer_size() * batch.num_rows / max(whole.num_rows, 1)
+            if rows < least and size < GATHER_BYTES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cell = table["cell"].to_numpy()
+            done = int(np.searchsorted(cell, cell[-1]))
+            if done:
+                yield table.slice(0, done)
+            held, rows = table.slice(done).combine_chunks().to_batches(), table.num_rows - done
+            least, size = max(least, rows + (1 << 12)), size * rows / table.num_rows if done else 0
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -394,24 +407,48 @@ def _links(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of shards (hub, c1) with the cell each row goes to, and its side there: 0 for whole shards and single blocks."""
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+def _dealt(members: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Members of shards (hub, c1) with the cell each row goes to, and its side there: 0 for whole shards and single blocks.
+
+    ``weights``: c1 and its number of n-grams, where blocks are also bounded by these.
+    """
+    blocks = F.ceil(F.count("*") / BLOCK)
+    if weights is not None:
+        members = members.join(weights, "c1")
+        blocks = F.greatest(blocks, F.ceil(F.sum("grams") / BLOCK_GRAMS))
+    sizes = staged(members.groupBy("hub").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"), "ngram-large")
+    # shards of several blocks are few; counted before they are sent
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    rows = members.join(sizes, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("tinyint")
     return rows.select("hub", "c1", F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"))
 
 
-def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and the class of every document; staged."""
-    ship(docs.sparkSession)
+def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n_shingles, the class of every document and the two halves of its key, staged; and first halves that several classes share."""
+    spark = docs.sparkSession
+    ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return staged(base.mapInArrow(_describe(n), "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint"), "ngram-classes")
+    described = staged(base.mapInArrow(_describe(n), "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint"), "ngram-classes")
+    # of 64-bit hashes a handful is expected at 10^10 classes
+    found = described.groupBy("c1").agg(F.min("c2").alias("low"), F.max("c2").alias("high")).where("low <> high").select("c1").toArrow().combine_chunks()
+    clashing = found["c1"].to_numpy().view(U64)
+    if not len(clashing):
+        return described.withColumn("class", F.col("c1")), clashing
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().view(U64) for i in (2, 3))
+            own = np.where(np.isin(a, clashing), mix(a ^ mix(b)), a)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], [*batch.schema.names, "class"])
 
+    return staged(described.mapInArrow(named, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, class bigint"), "ngram-classes"), clashing
 
-def links(docs: DataFrame, described: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: classes (first halves of their keys) at or above num / den, enough of them to join every component; staged."""
+
+def links(docs: DataFrame, described: DataFrame, clashing: np.ndarray, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: classes at or above num / den, enough of them to join every component; staged."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = staged(base.select("text").mapInArrow(_common(n), "kind tinyint, token bigint, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")), "ngram-common")
@@ -422,20 +459,24 @@ def links(docs: DataFrame, described: DataFrame, n: int, num: int, den: int, id_
 
     hot, (single, counts) = np.sort(commonest(0, HOT_LIMIT)[0]), commonest(1, WORD_LIMIT)
     shared = spark.sparkContext.broadcast((hot, *_word_levels(single, counts)))
-    entries = base.select("text").mapInArrow(_prefixes(n, num, den, shared), "token bigint, c1 bigint")
+    entries = base.select("text").mapInArrow(_prefixes(n, num, den, shared, clashing), "token bigint, c1 bigint")
     met = staged(entries.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(_hubs, "hub bigint, c1 bigint").distinct(), "ngram-shards")
-    points = base.select("text").mapInArrow(_points(n), "c1 bigint, point binary").groupBy("c1").agg(F.min("point").alias("point"))
+    points = base.select("text").mapInArrow(_points(n, clashing), "c1 bigint, point binary").groupBy("c1").agg(F.min("point").alias("point"))
     located = _dealt(met).join(points, "c1").select("cell", "side", "hub", "c1", "point")
     left = located.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_survivors(num, den), "hub bigint, c1 bigint")
     left = staged(left.distinct(), "ngram-survivors")
     # one document for each class that is left
-    keeper = described.groupBy("c1").agg(F.min("doc_id").alias("doc_id"))
-    texts = _texts(base, keeper.join(left.select("c1").distinct(), "c1", "left_semi"), n)
-    compared = _dealt(left).join(texts, "c1").select("cell", "side", "c1", "text")
-    return staged(compared.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_links(n, num, den), "a bigint, b bigint").distinct(), "ngram-links")
+    keeper = described.groupBy(F.col("class").alias("c1")).agg(F.min("doc_id").alias("doc_id"))
+    texts = _texts(base, keeper.join(left.select("c1").distinct(), "c1", "left_semi"), n, clashing)
+    weights = described.groupBy(F.col("class").alias("c1")).agg(F.max("n_shingles").alias("grams"))
+    compared = _dealt(left, weights).join(texts, "c1").select("cell", "side", "c1", "text")
+    found = staged(compared.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_links(n, num, den), "a bigint, b bigint").distinct(), "ngram-links")
+    discard(spark, often, met, left)
+    shared.unpersist()
+    return found
 
 
-def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+def _texts(base: DataFrame, ids: DataFrame, n: int, clashing: np.ndarray) -> DataFrame:
     """c1 and a text of each class whose document is asked for; documents that share an id are told apart by their class."""
     ids = staged(ids, "ngram-ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -443,7 +484,7 @@ def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches, "text"):
-            a, _ = _class_keys(*_sets(data, offsets, n))
+            a = _names(*_sets(data, offsets, n), clashing)
             keep = pa.array(a.view(np.int64) == part.column(part.schema.get_field_index("of")).to_numpy())
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).filter(keep) for c in ("of", "text")], ["c1", "text"])
 
@@ -452,37 +493,41 @@ def _texts(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), the two halves of the class key, and the component's smallest class."""
-    described = classes(docs, n, id_col, text_col)
-    pairs = links(docs, described, n, num, den, id_col, text_col)
+    described, clashing = classes(docs, n, id_col, text_col)
+    pairs = links(docs, described, clashing, n, num, den, id_col, text_col)
     group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # classes without words stay apart: each of their rows is a component of its own
-    smallest = described.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
-    labelled = smallest.join(group.select(F.col("node").alias("c1"), "component"), "c1", "left").withColumn("component", F.coalesce("component", "c1"))
+    smallest = described.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    labelled = smallest.join(group.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_least"))
-    named = labelled.join(least, "component").select(F.col("c1").alias("of"), "component_least", "component")
-    out = described.join(named, (F.col("c1") == F.col("of")) & (F.col("n_shingles") > 0), "left")
+    named = labelled.join(least, "component").select(F.col("class").alias("of"), "component_least", "component")
+    out = described.join(named, (F.col("class") == F.col("of")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_least")).otherwise(F.col("doc_id")).alias("component_id"), "c1", "c2", "component")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but one of each component: the row with the smallest id stays.  Texts without words stay."""
+    spark = docs.sparkSession
+    c1, c2, of, g1, g2, again = spare(docs, "_c1", "_c2", "_id", "_g1", "_g2", "_again")
     rows = ngram_components(docs, n, num, den, id_col, text_col).where("n_shingles > 0")
-    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2")).alias("kept"))
-    keys = rows.groupBy("doc_id", "c1", "c2").agg(F.min("component").alias("component"), F.count("*").alias("rows"))
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2")
+    keys = staged(rows.groupBy("doc_id", "c1", "c2").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "ngram-keys")
+    keep = keys.groupBy("component").agg(F.min(mine).alias("kept")).select(F.col("kept.doc_id").alias("k"), F.col("kept.c1").alias("k1"), F.col("kept.c2").alias("k2"), F.lit(True).alias("stays"))
     # of rows that repeat an id and a class, one stays: they are set apart by number
-    marked = staged(keys.join(keep, "component").select("doc_id", "c1", "c2", "rows", (mine == F.col("kept")).alias("stays")), "ngram-kept")
-    gone = marked.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("_id"), F.col("c1").alias("_g1"), F.col("c2").alias("_g2"), (F.col("stays") & (F.col("rows") > 1)).alias("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))
+    marked = staged(keys.join(keep, same, "left").select("doc_id", "c1", "c2", "rows", F.coalesce("stays", F.lit(False)).alias("stays")), "ngram-kept")
+    gone = marked.where("NOT stays OR rows > 1").select(F.col("doc_id").alias(of), F.col("c1").alias(g1), F.col("c2").alias(g2), (F.col("stays") & (F.col("rows") > 1)).alias(again))
     listed = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    columns, schema = docs.columns, StructType([*docs.schema.fields, StructField("_c1", LongType()), StructField("_c2", LongType())])
+    columns, schema = docs.columns, StructType([*docs.schema.fields, StructField(c1, LongType()), StructField(c2, LongType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches, text_col):
             a, b = _class_keys(*_sets(data, offsets, n))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], [*columns, "_c1", "_c2"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], [*columns, c1, c2])
 
-    out = docs.mapInArrow(keyed, schema).join(listed, (F.col("_c1") == F.col("_g1")) & (F.col("_c2") == F.col("_g2")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = out.where("_g1 IS NULL").select(*columns)
+    out = docs.mapInArrow(keyed, schema).join(listed, (F.col(c1) == F.col(g1)) & (F.col(c2) == F.col(g2)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
+    kept = out.where(F.col(g1).isNull()).select(*columns)
+    discard(spark, keys)
     if marked.where("stays AND rows > 1").isEmpty():
         return kept
-    return kept.unionByName(out.where("_again").dropDuplicates(["_c1", "_c2", "_id"]).select(*columns))
+    return kept.unionByName(out.where(again).dropDuplicates([c1, c2, of]).select(*columns))
