@@ -249,17 +249,67 @@ def test_warc_round_trip(spark, tmp_path):
     manifest = write_warc(with_revisits(pages), folder, roll=4000)
     assert manifest.count() > 2
     assert {r.payload for r in read_warc(spark, folder).where("page_id = 20").collect()} == {b"<p>20</p>" * 40}
+    written = next(tmp_path.glob("w/*.warc.zst")).read_bytes()
+    assert written[:4] == (0x184D2A5D).to_bytes(4, "little")  # the file itself begins with the dictionary's frame
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
 def test_warc_refuses_damage():
     good = encode_record(1, b"abc", hashlib.sha256(b"abc").hexdigest(), 3, None, False)
-    assert decode_record(good)[:4] == (1, 3, hashlib.sha256(b"abc").hexdigest(), "response")
+    r = decode_record(good)
+    assert (r.page_id, r.payload_bytes, r.payload_digest, r.record_type) == (1, 3, hashlib.sha256(b"abc").hexdigest(), "response")
     for bad in (good.replace(b"abc", b"abd"), good[:-1], good.replace(b"WARC/1.1", b"WORC/1.1"), good.replace(b"WARC-Date", b"WARC-Dote")):
         with pytest.raises(ValueError):
             decode_record(bad)
 
 
+def foreign(kind, block, record_id, *more, eol="\r\n"):
+    lines = ["WARC/1.0", f"warc-type:{kind}", f"WARC-RECORD-ID: {record_id}", "Warc-Date:   2020-02-02T00:00:00Z", *more, f"content-length:{len(block)}"]
+    return eol.join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reads_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import struct
+
+    import zstandard
+
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.0 200 OK\r\nContent-Length: 999\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(http).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: other\r\n", "<urn:uuid:0>", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.0\r\n\r\n", "<urn:uuid:1>", "WARC-Concurrent-To: <urn:uuid:2>", "WARC-Concurrent-To: <urn:uuid:3>"),
+        foreign("response", http, "<urn:uuid:2>", "Content-Type:application/http;msgtype=response", "WARC-Target-URI: http://x/", "WARC-Block-Digest: " + sha1, "X-Note: folded", "\tover two lines"),
+        foreign("revisit", b"", "<urn:uuid:4>", "WARC-Refers-To: <urn:uuid:2>", "WARC-Payload-Digest: sha1:ABC"),
+        foreign("resource", b"raw bytes", "urn:x", "WARC-Payload-Digest: md5:" + hashlib.md5(b"raw bytes").hexdigest()),
+    ]
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "plain.warc.zst").write_bytes(b"".join(map(pack, records)))
+    raw = b"WARC/1.0 warc-type content-length " * 20
+    own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw)).compress
+    (tmp_path / "dictionary.warc.zst").write_bytes(struct.pack("<II", 0x184D2A5D, len(raw)) + raw + b"".join(map(own, records[:3])) + struct.pack("<II", 0x184D2A50, 3) + b"abc" + own(records[3]))
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    rows = read_warc(spark, f"file://{tmp_path}").collect()
+    assert collections.Counter(r.record_type for r in rows) == {"warcinfo": 2, "request": 2, "response": 2, "revisit": 2, "resource": 1}
+    r = next(r for r in rows if r.record_type == "response")
+    assert (r.page_id, r.payload, r.payload_bytes, r.record_id, r.target_uri) == (None, body, len(body), "<urn:uuid:2>", "http://x/")
+    r = next(r for r in rows if r.record_type == "revisit")
+    assert (r.refers_to_id, r.payload_digest, r.payload) == ("<urn:uuid:2>", "sha1:ABC", None)
+    assert ("X-Note", "folded over two lines") in decode_record(records[2]).headers
+    assert [v for k, v in decode_record(records[1]).headers if k == "WARC-Concurrent-To"] == ["<urn:uuid:2>", "<urn:uuid:3>"]
+    for bad in (records[2].replace(b"hello", b"hullo"), records[4].replace(b"raw", b"row"), records[0].replace(b"warc-type:warcinfo", b"warc-type:"), records[0].replace(b"WARC/1.0", b" x")):
+        with pytest.raises(ValueError):
+            decode_record(bad)
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (1, "u", "x" * 200), (None, "u", "y"), (None, "u", "y")], "page_id long, url string, html string")
+    write_warc(with_revisits(pages), f"file://{tmp_path}/w")
+    ids = [r.record_id for r in read_warc(spark, f"file://{tmp_path}/w").collect()]
+    assert len(ids) == len(set(ids)) == 4 and all(i.startswith("<urn:uuid:") for i in ids)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 8)).astype(np.float32)
