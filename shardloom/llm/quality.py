@@ -5,15 +5,18 @@ word borders included); a word followed by itself has one pair feature of its
 own.  Each feature has a learned vector; a document is the mean of its
 features' vectors and a softmax layer gives the class.  Training is numpy
 stochastic gradient descent on the driver over a bounded, documented sample
-of labelled rows (``max_rows``, chosen by hash of the id); whole texts are
-used.  For scoring the softmax layer is folded into the table, since the odds
+of labelled texts (``max_rows`` ids, chosen by their hash, and one text of each);
+whole texts are used.  For scoring the softmax layer is folded into the table, since the odds
 are linear in the mean: one number for each feature goes to the workers (1 MB
 at 2^18 features, whatever the corpus).
 
 Defined cases: null and empty texts have no features and get the model's
 prior; a null id is never held out and never trained on; several labels of
-one id count as their maximum; without labels of both classes every score is
-the share of label 1, or 0.5.  Only the text is an input of the score.
+one id count as their maximum; of several texts of one id the one with the
+smallest hash is learned from; without labels of both classes every score is the
+share of label 1, or 0.5; an empty table gives an empty result; repeated rows are
+scored alike; a column with the score's name is replaced.  Only the text is an
+input of the score.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shardloom.llm._spark import ship
+from shardloom.llm._spark import ship, without
 from shardloom.llm._text import U64, pieces, words
 
 BITS = 18
@@ -82,11 +86,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, n = np.unique(np.concatenate([v[b[r] : b[r + 1]] for v, b in kinds]), return_counts=True)
             index.append(i.astype(np.int32).tobytes())
             count.append(n.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(index, pa.binary()), pa.array(count, pa.binary())], ["label", "index", "count"])
+        yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("doc_id", "label")), pa.array(index, pa.binary()), pa.array(count, pa.binary())], ["doc_id", "label", "index", "count"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, max_rows: int, per_label: bool = False) -> DataFrame:
-    """text and label of at most ``max_rows`` labelled rows, by hash order of the id; with ``per_label`` of so many for each of 0 and 1."""
+    """doc_id, text and label of at most ``max_rows`` labelled ids, by hash order, one text each; with ``per_label`` of so many for each of 0 and 1."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).where(train)
     known = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label")).withColumn("_h", F.xxhash64(F.lit(11), "doc_id"))
     if per_label:
@@ -95,7 +99,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
         chosen = known.orderBy("_h", "doc_id").limit(max_rows)
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     # at most max_rows (or twice that) pairs of numbers: bounded by the parameter, so they may be broadcast
-    return texts.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    found = texts.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    return found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label"))
+
+
+def gathered(sample: DataFrame, kernel, schema: str) -> tuple[pa.Table, list[int]]:
+    """The features of a sample, brought to the driver, and its rows in order of doc_id."""
+    got = sample.mapInArrow(kernel, schema).toArrow().combine_chunks()
+    return got, np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist()
+
+
+def arrays(column: pa.ChunkedArray, order: list[int], kind: type) -> list[np.ndarray]:
+    """The rows of a binary column as arrays over its own memory."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+        out += [np.frombuffer(data, kind, (b - a) // np.dtype(kind).itemsize, a) if b > a else np.zeros(0, kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [out[i] for i in order]
 
 
 def train(index: list[np.ndarray], count: list[np.ndarray], label: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> QualityModel:
@@ -129,15 +150,13 @@ def train(index: list[np.ndarray], count: list[np.ndarray], label: np.ndarray, d
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: Column | None = None, max_rows: int = MAX_ROWS, **options) -> QualityModel:
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if train_rows is None else train_rows, max_rows)
-    got = sample.mapInArrow(_gather, "label int, index binary, count binary").toArrow().sort_by([("label", "ascending"), ("index", "ascending"), ("count", "ascending")])
-    index = [np.frombuffer(x, np.int32) for x in got["index"].to_pylist()]
-    count = [np.frombuffer(x, np.float32) for x in got["count"].to_pylist()]
-    return train(index, count, (got["label"].to_numpy() > 0).astype(int), **options)
+    got, order = gathered(sample, _gather, "doc_id bigint, label int, index binary, count binary")
+    return train(arrays(got["index"], order, np.int32), arrays(got["count"], order, np.float32), (got["label"].to_numpy()[order] > 0).astype(int), **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The documents with the probability of label 1 in a further column."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, without(docs, (score_col,), (text_col,))
     ship(spark)
     shared, bias = spark.sparkContext.broadcast(model.table), model.bias
 
@@ -151,6 +170,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
             score = 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, score_col])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
