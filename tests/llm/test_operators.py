@@ -559,3 +559,135 @@ def test_texts_with_equal_halves_of_keys_stay_apart(spark):
     out = {r.doc_id: r.c1 for r in apart(rows, clashing_keys(rows)).collect()}
     assert out[4] == 8 and out[2] == out[3] and len({out[1], out[2], out[4]}) == 3
     assert clashing_keys(rows.where("doc_id > 1")) is None
+
+
+def test_quality_training_and_scores_follow_the_formulas(spark):
+    """The gradient of the step against finite differences, and scores against a plain recomputation."""
+    from shardloom.llm import quality as module
+
+    index = [np.array([3, 9], np.int32), np.array([9, 11], np.int32)]
+    count = [np.array([1, 2], np.float32), np.array([1, 1], np.float32)]
+    label = np.array([0, 1])
+    rng = np.random.default_rng(3)
+    dim = 4
+    vectors, out, bias = rng.uniform(-1 / dim, 1 / dim, (module.REPEAT + 1, dim)), rng.normal(size=(2, dim)), rng.normal(size=2)
+
+    def loss(v, o, b, r):
+        w = count[r] / count[r].sum()
+        odds = o @ (w @ v[index[r]]) + b
+        return np.log(np.exp(odds).sum()) - odds[label[r]]
+
+    for r in (0, 1):
+        w = count[r] / count[r].sum()
+        mean = w @ vectors[index[r]]
+        p = np.exp(out @ mean + bias)
+        g = p / p.sum()
+        g[label[r]] -= 1
+        for i, d in ((0, 1), (1, 3)):
+            moved = vectors.copy()
+            moved[index[r][i], d] += 1e-6
+            assert (loss(moved, out, bias, r) - loss(vectors, out, bias, r)) / 1e-6 == pytest.approx((w[i] * (g @ out))[d], abs=1e-4)
+            step = out.copy()
+            step[i, d] += 1e-6
+            assert (loss(vectors, step, bias, r) - loss(vectors, out, bias, r)) / 1e-6 == pytest.approx(np.outer(g, mean)[i, d], abs=1e-4)
+    assert module.train(index * 40, count * 40, np.tile(label, 40)).table[11] > module.train(index * 40, count * 40, np.tile(label, 40)).table[3]
+    model = module.QualityModel(rng.normal(size=module.REPEAT + 1).astype(np.float32), 0.3)
+    texts = ["Abc abc abc d", "", "é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in score_quality(frame, model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got):
+        data, offsets = _text.buffer(pa.array([text]))
+        values = np.concatenate([v for v, _ in module.features(data, offsets)]) if text else np.zeros(0, int)
+        assert score == pytest.approx(1 / (1 + math.exp(-((model.table[values].mean() if len(values) else 0) + 0.3))), rel=1e-5)
+    data, offsets = _text.buffer(pa.array(["a a b b b"]))
+    assert sum(int((v == module.REPEAT).sum()) for v, _ in module.features(data, offsets)) == 3
+
+
+def test_ordinal_gradient_is_that_of_the_likelihood():
+    """One step from zero weights goes down the likelihood's gradient, by finite differences."""
+    from shardloom.llm.toxicity import scores
+
+    rng = np.random.default_rng(1)
+    grades = rng.integers(0, 3, 60)
+    parts = [np.unique(rng.choice(8, 3)) for _ in grades]
+    at = np.concatenate(parts)
+    rows = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    share = np.array([(grades > k).mean() for k in range(2)])
+    theta = np.log((1 - share) / share)
+
+    def loss(w, theta=theta):
+        s = np.array([w[p].sum() for p in parts])
+        above = np.concatenate([np.ones((60, 1)), 1 / (1 + np.exp(-(s[:, None] - theta))), np.zeros((60, 1))], 1)
+        return -np.log(above[np.arange(60), grades] - above[np.arange(60), grades + 1]).mean()
+
+    slope = np.array([(loss(np.eye(8)[j] * 1e-6) - loss(np.zeros(8))) / 1e-6 for j in range(8)])
+    model = fit_ordinal(np.arange(8, dtype=np.uint32), at, rows, grades, penalty=0.0, steps=1, rate=1e-3)
+    weight = np.zeros(8)
+    weight[model.keys] = model.weights
+    assert (np.sign(weight) == -np.sign(slope)).all()
+    long = fit_ordinal(np.arange(8, dtype=np.uint32), at, rows, grades, penalty=0.0, steps=50)
+    best = np.zeros(8)
+    best[long.keys] = long.weights
+    assert loss(best, long.thresholds) < loss(np.zeros(8))
+    assert scores(long, at.astype(np.uint32), rows) == pytest.approx([best[p].sum() for p in parts])
+
+
+def test_toxicity_severity_is_the_sum_of_chances(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 30).split() + ["snarf", "grobbel"] * (i % 3 == 0) * (1 + i % 2))) for i in range(240)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = fit_toxicity(texts, marks)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    from shardloom.llm.toxicity import word_features
+
+    for r in score_toxicity(texts, model).collect():
+        data, offsets = _text.buffer(pa.array([r.text]))
+        x = sum(weight.get(k, 0.0) for k in {int(i) for values, _ in word_features(data, offsets) for i in values})
+        above = [1 / (1 + math.exp(-(x - t))) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(above)) and r.toxic == (above[0] >= model.reject_at)
+
+
+def test_training_samples_are_bounded_by_ids(spark):
+    from shardloom.llm.quality import labelled_sample
+
+    texts = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in (1, 1, 2, 3, 4)], "doc_id long, quality int")
+    got = [labelled_sample(texts.repartition(n), marks, "quality", F.lit(True), 3).collect() for n in (1, 5)]
+    assert len(got[0]) == 3 and sorted(got[0]) == sorted(got[1])
+    assert len(labelled_sample(texts, marks, "quality", F.lit(True), 1, per_label=True).collect()) == 2
+
+
+OPERATORS = {
+    "score_quality": (lambda docs, labels, bench: score_quality(docs, fit_quality(docs, labels)), ["score"]),
+    "score_toxicity": (lambda docs, labels, bench: score_toxicity(docs, fit_toxicity(docs, labels)), ["severity", "grade", "toxic"]),
+    "kneser_ney_scores": (lambda docs, labels, bench: kneser_ney_scores(docs, F.lit(True)), ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]),
+    "decontaminate": (lambda docs, labels, bench: decontaminate(docs, bench), ["coverage", "item_id"]),
+    "mixed_documents": (lambda docs, labels, bench: mixed_documents(docs), ["copy"]),
+    "mix_sources": (lambda docs, labels, bench: mix_sources(docs), None),
+    "ngram_components": (lambda docs, labels, bench: ngram_components(docs), None),
+    "one_of_each": (lambda docs, labels, bench: one_of_each(docs), []),
+    "substring_dedup": (lambda docs, labels, bench: substring_dedup(docs), None),
+    "passage_dedup": (lambda docs, labels, bench: passage_dedup(docs), None),
+    "without_repeats": (lambda docs, labels, bench: without_repeats(docs), []),
+}
+CLASHES = ["score", "severity", "Grade", "toxic", "coverage", "item_id", "copy", "n_tokens", "n_known", "train_tokens", "base_score", "perplexity", "_c1", "_c2", "c1", "c2", "class", "component", "component_id", "n_shingles", "_spans", "_cut", "_b", "_of", "doc", "nth", "of", "b", "a", "k1", "k2", "_k1", "_copies", "copies", "n", "size", "taken", "target", "label", "index", "hub", "cell", "runs", "held_out", "predicted"]
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_operators_bear_columns_with_their_own_names(spark, empty, labels, name):
+    run, adds = OPERATORS[name]
+    bench = spark.createDataFrame([(0, corpus()[12][1])], "item_id long, text string")
+    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 2000]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    marked = plain.withColumns({c: F.lit("mine") for c in CLASHES})
+    want, got = run(plain, labels, bench), run(marked, labels, bench)
+    if adds is None:
+        assert got.columns == want.columns
+    else:
+        kept = [c for c in marked.columns if c.lower() not in {a.lower() for a in adds}]
+        assert got.columns[: len(kept)] == kept and sorted(got.columns[len(kept) :]) == sorted(adds)
+        got = got.select(*want.columns)
+    text = lambda r: repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r))
+    assert sorted(map(text, got.collect())) == sorted(map(text, want.collect()))
+    assert run(empty.withColumns({c: F.lit("mine") for c in CLASHES if c not in empty.columns}), labels.limit(0), bench.limit(0)).count() == 0
