@@ -68,7 +68,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"))
     scored = kneser_ney_scores(docs, ~F.col("held_out"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,41 +348,56 @@ def test_top_k_sends_queries_only_where_their_bound_reaches(spark):
     assert sum(visits) < 60 * 24 / 2
 
 
-def test_language_model_matches_formulas(docs, empty):
+@pytest.mark.parametrize("order,packed", [(2, True), (3, True), (3, False)])
+def test_language_model_matches_formulas(docs, empty, monkeypatch, order, packed):
+    from shardloom.llm import ngramlm
+
+    if not packed:  # as if numbers were too large for 64 bits
+        monkeypatch.setattr(ngramlm, "_keys", lambda columns: None)
     rows = corpus()
     tokens = [words_of(t) + ["<end>"] for _, t, _ in rows]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
     train = [t for (k, _, _), t in zip(rows, tokens) if not held(k)]
     c = collections.Counter(w for t in train for w in t)
-    pair = collections.Counter(p for t in train for p in zip(["<s>"] + t, t))
     total, size = sum(c.values()), len(c)
-
-    def cut(counts):
-        n = collections.Counter(counts)
+    grams = lambda t: zip(*[(["<s>"] * (order - 1) + t)[i:] for i in range(order)])
+    counts = {order: collections.Counter(g for t in train for g in grams(t))}
+    for m in range(order, 1, -1):  # different words before, but after a start mark the counts themselves
+        counts[m - 1] = collections.Counter()
+        for g, n in counts[m].items():
+            counts[m - 1][g[1:]] += n if g[1] == "<s>" else 1
+
+    def cut(values):
+        n = collections.Counter(values)
         y = n[1] / (n[1] + 2 * n[2])
         raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
         return [0.0] + [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
-    d2, near = cut(pair.values()), collections.Counter(w for _, w in pair)
-    d1, kinds = cut(near.values()), len(pair)
-    rest = sum(d1[min(n, 3)] for n in near.values()) / kinds
+    less = {m: cut(counts[m].values()) for m in counts}
     after, kept = collections.Counter(), collections.Counter()
-    for (h, _), n in pair.items():
-        after[h] += n
-        kept[h] += d2[min(n, 3)]
-
-    def chance(h, w):
-        low = max(near[w] - d1[min(near[w], 3)], 0) / kinds + rest / (size + 1)
-        return (max(pair[h, w] - d2[min(pair[h, w], 3)], 0) + kept[h] * low) / after[h] if after[h] else low
-
-    assert sum(chance("<s>", w) for w in c) + chance("<s>", "never seen") == pytest.approx(1)
+    for m in counts:
+        for g, n in counts[m].items():
+            after[m, g[:-1]] += n
+            kept[m, g[:-1]] += less[m][min(n, 3)]
+
+    def chance(g):
+        m, h = len(g), (len(g), g[:-1])
+        low = chance(g[1:]) if m > 1 else 1 / (size + 1)
+        n = counts[m][g]
+        return max(n - less[m][min(n, 3)], 0) / after[h] + kept[h] / after[h] * low if after[h] else low
+
+    for h in (("<s>",) * (order - 1), (*("<s>",) * (order - 2), tokens[0][0])):
+        assert sum(chance((*h, w)) for w in c) + chance((*h, "never seen")) == pytest.approx(1)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in kneser_ney_scores(docs, ~fold).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-    want = sorted(((k, len(t), sum(w in c for w in t), total, sum(math.log10((c[w] + 1) / (total + size + 1)) for w in t), sum(math.log10(chance(h, w)) for h, w in zip(["<s>"] + t, t))) for (k, _, _), t in zip(rows, tokens)), key=lambda r: (r[0] is None, r[0], r[1]))
+    out = kneser_ney_scores(docs, ~fold, order).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=lambda r: (r[0] is None, r[0], r[1]))
+    want = sorted(((k, len(t), sum(w in c for w in t), total, sum(math.log10((c[w] + 1) / (total + size + 1)) for w in t), sum(math.log10(chance(g)) for g in grams(t))) for (k, _, _), t in zip(rows, tokens)), key=lambda r: (r[0] is None, r[0], r[1]))
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:])
-    assert kneser_ney_scores(empty, F.lit(True)).count() == 0
-    assert {r.score for r in kneser_ney_scores(docs, F.lit(False)).collect()} == {0.0}
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in out)
+    if packed and order == 2:
+        assert kneser_ney_scores(empty, F.lit(True)).count() == 0
+        assert {r.score for r in kneser_ney_scores(docs, F.lit(False)).collect()} == {0.0}
 
 
 def test_quality_learns_and_bears_anything(spark, docs, empty, labels):
