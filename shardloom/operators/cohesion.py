@@ -67,7 +67,7 @@ def kcore(g: PropertyGraph) -> DataFrame:
         best = counted.withColumn("at_least", F.sum("n").over(above)).groupBy(F.col("src").alias("vid")).agg(F.max(F.least("c", "at_least")).cast("int").alias("new"))
         return state.join(best, "vid", "left").select("vid", F.coalesce("new", "core").alias("core"), (F.coalesce("new", "core") < F.col("core")).alias("fresh"))
 
-    state, _ = fixpoint(start, step, lambda s, _: s.where("fresh").isEmpty())
+    state, _ = fixpoint(start, step, lambda now, _: not now["fresh"], watch={"fresh": F.count_if("fresh")})
     return state.select("vid", "core")
 
 

@@ -7,28 +7,35 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(f"file://{os.path.realpath(tempfile.mkdtemp(prefix='shardloom-'))}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "round") -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, and a lost executor costs no earlier round."""
+def cut(df: DataFrame, what: str = "round", watch: dict[str, Column] | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends there, and a lost executor costs no earlier round.
+
+    ``watch``: aggregates that are taken while the table is written, so no job
+    of their own reads it again; they are in ``_watched`` of the result.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if watch else None
+    (df.observe(seen, *[c.alias(n) for n, c in watch.items()]) if watch else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out._cut_path, out._watched = path, seen.get if seen else {}
     return out
 
 
@@ -40,11 +47,14 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, int], bool], max_rounds: int | None = None) -> tuple[DataFrame, int]:
-    """Apply ``step`` until ``done`` holds; the last state and the number of rounds.  Each state is cut, its predecessor deleted."""
-    state, rounds = cut(state), 0
-    while not done(state, rounds) and (max_rounds is None or rounds < max_rounds):
-        after = cut(step(state, rounds))
+def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[dict, int], bool], max_rounds: int | None = None, watch: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """Apply ``step`` until ``done`` holds for the watched aggregates of a state and the rounds so far; the last state and the number of rounds.
+
+    Each state is cut, its predecessor deleted.
+    """
+    state, rounds = cut(state, watch=watch), 0
+    while not done(state._watched, rounds) and (max_rounds is None or rounds < max_rounds):
+        after = cut(step(state, rounds), watch=watch)
         drop(state)
         state, rounds = after, rounds + 1
     return state, rounds
@@ -70,12 +80,11 @@ def components(edges: DataFrame) -> DataFrame:
     def step(pairs: DataFrame, _: int) -> DataFrame:
         return star(star(pairs, True), False)
 
-    seen: list[tuple] = []
+    seen: list[dict] = []
 
-    def done(pairs: DataFrame, _: int) -> bool:
-        mark = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.max("src")).first())
-        seen.append(mark)
-        return mark[0] == 0 or len(seen) > 1 and seen[-1] == seen[-2]
+    def done(now: dict, _: int) -> bool:
+        seen.append(dict(now))
+        return not now["n"] or len(seen) > 1 and seen[-1] == seen[-2]
 
-    stars, _ = fixpoint(e, step, done)
+    stars, _ = fixpoint(e, step, done, watch={"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), "last": F.max("src")})
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(stars.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

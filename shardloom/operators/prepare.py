@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from shardloom.functions.ids import hash_partition, modulo_partition, numbered, range_partition
+from shardloom.functions.ids import hash_partition, modulo_partition, number_within, numbered, range_partition
 from shardloom.operators.fixpoint import components, cut, fixpoint
 from shardloom.plans.model import PropertyGraph
 
@@ -27,21 +26,9 @@ def symmetrize(arcs: DataFrame) -> DataFrame:
 
 
 def relabel(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Arcs with ids 1..n in order of the old ids, and the map (new_id, old_id).
-
-    Ids are dealt by range, counted by range, and numbered within it, so the
-    numbering is one sort and no task sees all vertices.
-    """
+    """Arcs with ids 1..n in order of the old ids, and the map (new_id, old_id)."""
     nodes = arcs.select(F.col("src").alias("old_id")).unionByName(arcs.select(F.col("dst").alias("old_id"))).distinct()
-    dealt = nodes.repartitionByRange("old_id").withColumn("part", F.spark_partition_id())
-    ranked = cut(dealt.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("old_id"))), "relabel")
-    before, seen = [], 0
-    for part, n in sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()):
-        before.append((part, seen))
-        seen += n
-    spark = arcs.sparkSession
-    offsets = spark.createDataFrame(before, "part int, before long")
-    table = ranked.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("pos")).alias("new_id"), "old_id")
+    table = number_within(nodes, None, ["old_id"], "n", lambda df: cut(df, "relabel")).select((F.col("n") + 1).alias("new_id"), "old_id")
     new = arcs.join(table.select(F.col("old_id").alias("src"), F.col("new_id").alias("_s")), "src").join(table.select(F.col("old_id").alias("dst"), F.col("new_id").alias("_d")), "dst")
     return new.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *[c for c in arcs.columns if c not in ("src", "dst")]), table
 
@@ -99,8 +86,8 @@ def subgraph_pieces(vertices: DataFrame, arcs: DataFrame, mode: str = "glue") ->
         raise ValueError(f"mode is {mode!r}, not glue or local")
     label = components(inner).select(F.col("node").alias("vid"), "component")
     named = vertices.join(label, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    number = F.row_number().over(Window.partitionBy("pid").orderBy("component")) - 1
-    pieces = named.select("pid", "component").distinct().select("pid", "component", numbered(F.col("pid"), number).alias("sgid"))
+    pieces = number_within(named.select("pid", "component").distinct(), "pid", ["component"], "n", lambda df: cut(df, "pieces"))
+    pieces = pieces.select("pid", "component", numbered(F.col("pid"), F.col("n")).alias("sgid"))
     return named.join(pieces, ["pid", "component"]).select("vid", "pid", "sgid")
 
 

@@ -23,10 +23,10 @@ def _iterate(g: PropertyGraph, start: DataFrame, n: int, alpha: float, teleport:
         new = F.lit(alpha) * F.coalesce("sum", F.lit(0.0)) + F.lit(teleport)
         return state.join(got, "vid", "left").select("vid", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
 
-    def done(state: DataFrame, rounds: int) -> bool:
-        return tol is not None and rounds > 0 and (state.agg(F.max("change")).first()[0] or 0.0) <= tol
+    def done(now: dict, rounds: int) -> bool:
+        return tol is not None and rounds > 0 and (now["change"] or 0.0) <= tol
 
-    state, _ = fixpoint(start.select("vid", "rank", F.lit(None).cast("double").alias("change")), step, done, max_iter)
+    state, _ = fixpoint(start.select("vid", "rank", F.lit(None).cast("double").alias("change")), step, done, max_iter, {"change": F.max("change")})
     return state.select("vid", "rank")
 
 
@@ -61,6 +61,6 @@ def subgraph_rank(g: PropertyGraph, alpha: float = 0.85, tol: float | None = 1e-
         moving = after.groupBy("sgid").agg((F.max("change") > inner_tol).alias("moving"))
         return after.join(moving, "sgid").select("vid", "sgid", "n_sg", F.col("new").alias("rank"), (F.col("active") & F.col("moving")).alias("active"))
 
-    seeded, _ = fixpoint(start, step, lambda s, _: s.where("active").isEmpty(), inner_iter)
+    seeded, _ = fixpoint(start, step, lambda now, _: not now["active"], inner_iter, {"active": F.count_if("active")})
     seed = seeded.select("vid", (F.col("rank") * F.col("n_sg") / n).alias("rank"))
     return _iterate(g, seed, n, alpha, 0.0 if compat else (1 - alpha) / n, tol, max_iter)

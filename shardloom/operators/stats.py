@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.functions.ids import number_within
 from shardloom.operators.fixpoint import components, cut, drop
 from shardloom.plans.model import PropertyGraph
 
@@ -66,29 +67,33 @@ def meta_neighbours(g: PropertyGraph) -> DataFrame:
     return local.join(near, "sgid", "left")
 
 
-def meta_diameter(g: PropertyGraph, max_subgraphs: int = 20_000) -> DataFrame:
+def meta_diameter(g: PropertyGraph, roots: int = 4096) -> DataFrame:
     """hops (largest finite distance between subgraphs) and reference_diameter (hops + 1).
 
-    All pairs are searched, so more than ``max_subgraphs`` subgraphs are refused.
+    All pairs are searched, from ``roots`` subgraphs at a time, by ranges of
+    their ids, so what is held at once is ``roots`` times the subgraphs, whatever
+    their number.
     """
-    pieces = g.vertices.select("sgid").distinct()
-    n = pieces.count()
-    if n > max_subgraphs:
-        raise ValueError(f"{n} subgraphs; all-pairs search is limited to {max_subgraphs}")
+    spark = g.vertices.sparkSession
     arcs = cut(g.meta_edges.select(F.col("src_sgid").alias("via"), F.col("dst_sgid").alias("at")), "meta")
-    seen = cut(pieces.select(F.col("sgid").alias("root"), F.col("sgid").alias("at"), F.lit(0).alias("dist")), "meta")
-    hops = 0
-    while True:
-        reached = seen.where(F.col("dist") == hops).select("root", F.col("at").alias("via")).join(arcs, "via").select("root", "at").distinct()
-        new = reached.join(seen, ["root", "at"], "left_anti").withColumn("dist", F.lit(hops + 1))
-        after = cut(seen.unionByName(new), "meta")
-        more = not after.where(F.col("dist") == hops + 1).isEmpty()
+    numbered = cut(number_within(g.vertices.select("sgid").distinct(), None, ["sgid"], "n", lambda df: cut(df, "meta")), "meta", {"n": F.count(F.lit(1))})
+    most = 0
+    for first in range(0, numbered._watched["n"] or 0, roots):
+        own = numbered.where((F.col("n") >= first) & (F.col("n") < first + roots))
+        seen = cut(own.select(F.col("sgid").alias("root"), F.col("sgid").alias("at"), F.lit(0).alias("dist")), "meta")
+        hops = 0
+        while True:
+            reached = seen.where(F.col("dist") == hops).select("root", F.col("at").alias("via")).join(arcs, "via").select("root", "at").distinct()
+            new = reached.join(seen, ["root", "at"], "left_anti").withColumn("dist", F.lit(hops + 1))
+            after = cut(seen.unionByName(new), "meta", {"more": F.count_if(F.col("dist") == hops + 1)})
+            drop(seen)
+            seen = after
+            if not after._watched["more"]:
+                break
+            hops += 1
         drop(seen)
-        seen = after
-        if not more:
-            break
-        hops += 1
-    return g.vertices.sparkSession.createDataFrame([(hops, hops + 1)], "hops int, reference_diameter int")
+        most = max(most, hops)
+    return spark.createDataFrame([(most, most + 1)], "hops int, reference_diameter int")
 
 
 def graph_stats(g: PropertyGraph) -> DataFrame:

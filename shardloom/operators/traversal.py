@@ -26,7 +26,7 @@ def spread(start: DataFrame, arcs: DataFrame, move: Column, max_rounds: int | No
         both = state.select("vid", "label", F.col("label").alias("old")).unionByName(sent).groupBy("vid").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         return both.select("vid", "label", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
 
-    state, _ = fixpoint(first, step, lambda s, _: s.where("fresh").isEmpty(), max_rounds)
+    state, _ = fixpoint(first, step, lambda now, _: not now["fresh"], max_rounds, {"fresh": F.count_if("fresh")})
     return state.select("vid", "label")
 
 
@@ -71,8 +71,9 @@ def edge_cut(g: PropertyGraph, clusters: DataFrame) -> DataFrame:
 
 
 def pick_centres(g: PropertyGraph, k: int, seed: int, attempt: int) -> DataFrame:
-    """k vertices by hash of seed, attempt and vid, numbered from 0."""
-    chosen = g.vertices.select("vid").withColumn("key", F.xxhash64(F.lit(seed), F.lit(attempt), "vid")).orderBy("key", "vid").limit(k)
+    """k vertices by MD5 of seed, attempt and vid, numbered from 0 in order of vid."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.lit(str(attempt)), F.col("vid").cast("string"))
+    chosen = g.vertices.select("vid").withColumn("key", F.md5(name.cast("binary"))).orderBy("key", "vid").limit(k)
     rows = sorted(r["vid"] for r in chosen.collect())  # k rows
     return g.vertices.sparkSession.createDataFrame(list(enumerate(rows)), "cluster int, vid long")
 

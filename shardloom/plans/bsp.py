@@ -2,10 +2,13 @@
 
 A computation is a class with ``compute(ctx, messages)`` and, if wanted,
 ``wrapup(ctx)``.  It is run once per superstep for every subgraph that hasn't
-voted to halt or has messages.  A round is a cogroup of the subgraphs' state
-with their inbox on the subgraph id; what it returns is written to the shared
-folder, so executors may be lost at any time.  An error in user code fails the
-job.  Topology and state of one subgraph must fit in a worker's memory.
+voted to halt or has messages.  A round is a cogroup of the subgraphs, their
+topology joined with their value, with their inbox on the subgraph id; what it
+returns is written to the shared folder, so executors may be lost at any time.
+The topology is written once, a round writes only values, messages and metrics,
+and values and messages of earlier rounds are deleted.  Messages come in order of
+their sender and of sending.  An error in user code fails the job.  Topology and
+state of one subgraph must fit in a worker's memory.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from shardloom.functions.shipping import ship
 from shardloom.operators.fixpoint import cut, drop
 from shardloom.plans.model import PropertyGraph
 
-_OUT = "kind string, sgid bigint, target bigint, body binary, halted boolean, amount double"
+_OUT = "kind string, sgid bigint, target bigint, nth bigint, body binary, halted boolean, amount double"
 
 
 @dataclass(frozen=True)
@@ -113,9 +116,9 @@ def _topologies(g: PropertyGraph) -> DataFrame:
             out.arcs[int(src)].append((int(dst), None if pd.isna(value) else float(value)))
             if not pd.isna(owner):
                 out.remote[int(dst)] = int(owner)
-        return pd.DataFrame({"sgid": [key[0]], "body": [pickle.dumps((out, None))], "halted": [False]})
+        return pd.DataFrame({"sgid": [key[0]], "topology": [pickle.dumps(out)]})
 
-    return rows.groupBy("sgid").applyInPandas(pack, "sgid bigint, body binary, halted boolean")
+    return rows.groupBy("sgid").applyInPandas(pack, "sgid bigint, topology binary")
 
 
 def _superstep(program: SubgraphComputation, step: int, conf: dict[str, Any]):
@@ -126,20 +129,20 @@ def _superstep(program: SubgraphComputation, step: int, conf: dict[str, Any]):
         if len(state):
             body, halted = state["body"].iloc[0], bool(state["halted"].iloc[0])
             if halted and not len(inbox):
-                out.append(("state", key[0], None, body, True, 0.0))
+                out.append(("state", key[0], None, None, body, True, 0.0))
             else:
-                graph, value = pickle.loads(body)
-                messages = sorted((pickle.loads(m) for m in inbox["message"]), key=lambda m: m.sender)
-                ctx, began = Context(graph, step, conf, value), time.perf_counter()
+                inbox = inbox.sort_values(["sender", "nth"])
+                messages = [pickle.loads(m) for m in inbox["message"]]
+                ctx, began = Context(pickle.loads(state["topology"].iloc[0]), step, conf, pickle.loads(body)), time.perf_counter()
                 program.compute(ctx, messages)
                 took = time.perf_counter() - began
-                out.append(("state", key[0], None, pickle.dumps((graph, ctx.value)), ctx.halted, 0.0))
-                out += [(kind, key[0], target, pickle.dumps(Message(int(key[0]), target, payload)), None, 0.0) for kind, target, payload in ctx._sent]
-                out.append(("seconds", key[0], None, None, None, took))
-                out.append(("received", key[0], None, None, None, float(len(messages))))
-                out.append(("sent", key[0], None, None, None, float(len(ctx._sent))))
-                out.append(("broadcast", key[0], None, None, None, float(sum(kind == "all" for kind, _, _ in ctx._sent))))
-        return pd.DataFrame(out, columns=columns).astype({"target": "Int64", "halted": "boolean"})
+                out.append(("state", key[0], None, None, pickle.dumps(ctx.value), ctx.halted, 0.0))
+                out += [(kind, key[0], target, nth, pickle.dumps(Message(int(key[0]), target, payload)), None, 0.0) for nth, (kind, target, payload) in enumerate(ctx._sent)]
+                out.append(("seconds", key[0], None, None, None, None, took))
+                out.append(("received", key[0], None, None, None, None, float(len(messages))))
+                out.append(("sent", key[0], None, None, None, None, float(len(ctx._sent))))
+                out.append(("broadcast", key[0], None, None, None, None, float(sum(kind == "all" for kind, _, _ in ctx._sent))))
+        return pd.DataFrame(out, columns=columns).astype({"target": "Int64", "nth": "Int64", "halted": "boolean"})
 
     return run
 
@@ -149,30 +152,35 @@ def run_bsp(g: PropertyGraph, program: SubgraphComputation, schema: str, conf: d
 
     The run ends when all subgraphs have halted and no message is under way.
     """
-    ship(g.vertices.sparkSession)
+    spark = g.vertices.sparkSession
+    ship(spark)
     conf, step = dict(conf or {}), 0
-    state = cut(_topologies(g), "bsp")
+    topology = cut(_topologies(g), "bsp-topology")
+    state = topology.select("sgid", F.lit(pickle.dumps(None)).alias("body"), F.lit(False).alias("halted"))
     owners = g.vertices.select(F.col("vid").alias("target"), F.col("sgid").alias("to"))
-    every = g.vertices.select(F.col("sgid").alias("to")).distinct()
-    inbox = g.vertices.sparkSession.createDataFrame([], "to_sgid bigint, message binary")
+    every = topology.select(F.col("sgid").alias("to"))
+    inbox = spark.createDataFrame([], "to_sgid bigint, sender bigint, nth bigint, message binary")
     metrics: list[DataFrame] = []
+    before = None
     while True:
         if step >= max_supersteps:
             raise RuntimeError(f"no end after {max_supersteps} supersteps")
-        out = cut(state.groupBy("sgid").cogroup(inbox.groupBy("to_sgid")).applyInPandas(_superstep(program, step, conf), _OUT), "bsp")
-        metrics.append(out.where("kind IN ('seconds', 'received', 'sent', 'broadcast')").select(F.lit(step).alias("superstep"), "sgid", F.col("kind").alias("metric"), "amount"))
-        if step == 0:
-            drop(state)
+        whole = topology.join(state, "sgid")
+        out = cut(whole.groupBy("sgid").cogroup(inbox.groupBy("to_sgid")).applyInPandas(_superstep(program, step, conf), _OUT), "bsp", {"active": F.count_if((F.col("kind") == "state") & ~F.col("halted")), "waiting": F.count_if(F.col("kind").isin("message", "vertex", "all"))})
+        counted = out.where("kind IN ('seconds', 'received', 'sent', 'broadcast')").select(F.lit(step).alias("superstep"), "sgid", F.col("kind").alias("metric"), "amount")
+        metrics.append(cut(counted, "bsp-metrics"))
+        if before is not None:
+            drop(before)
+        before = out
         state = out.where("kind = 'state'").select("sgid", "body", "halted")
-        sent = out.where("kind IN ('message', 'vertex', 'all')")
-        active, waiting = out.agg(F.count_if((F.col("kind") == "state") & ~F.col("halted")), F.count_if(F.col("kind").isin("message", "vertex", "all"))).first()
+        sent = out.where("kind IN ('message', 'vertex', 'all')").select("kind", "target", F.col("sgid").alias("sender"), "nth", F.col("body").alias("message"))
         step += 1
-        if not active and not waiting:
+        if not out._watched["active"] and not out._watched["waiting"]:
             break
-        direct = sent.where("kind = 'message'").select(F.col("target").alias("to_sgid"), F.col("body").alias("message"))
-        by_vertex = sent.where("kind = 'vertex'").join(owners, "target").select(F.col("to").alias("to_sgid"), F.col("body").alias("message"))
+        direct = sent.where("kind = 'message'").select(F.col("target").alias("to_sgid"), "sender", "nth", "message")
+        by_vertex = sent.where("kind = 'vertex'").join(owners, "target").select(F.col("to").alias("to_sgid"), "sender", "nth", "message")
         # to all: the product is what was asked for, a copy for each subgraph
-        to_all = sent.where("kind = 'all'").select("body").crossJoin(every).select(F.col("to").alias("to_sgid"), F.col("body").alias("message"))
+        to_all = sent.where("kind = 'all'").select("sender", "nth", "message").crossJoin(every).select(F.col("to").alias("to_sgid"), "sender", "nth", "message")
         inbox = direct.unionByName(by_vertex).unionByName(to_all)
 
     fields = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -180,9 +188,8 @@ def run_bsp(g: PropertyGraph, program: SubgraphComputation, schema: str, conf: d
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for body in batch["body"]:
-                graph, value = pickle.loads(body)
-                ctx = Context(graph, step, conf, value)
+            for graph, body in zip(batch["topology"], batch["body"], strict=True):
+                ctx = Context(pickle.loads(graph), step, conf, pickle.loads(body))
                 program.wrapup(ctx)
                 rows += ctx._rows
             yield pd.DataFrame(rows, columns=fields)
@@ -190,7 +197,7 @@ def run_bsp(g: PropertyGraph, program: SubgraphComputation, schema: str, conf: d
     log = metrics[0]
     for more in metrics[1:]:
         log = log.unionByName(more)
-    return state.select("body").mapInPandas(wrap, schema), log, step
+    return topology.join(state, "sgid").select("topology", "body").mapInPandas(wrap, schema), log, step
 
 
 class CountVertices(SubgraphComputation):

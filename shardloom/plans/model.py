@@ -7,9 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from shardloom.functions.ids import numbered
+from shardloom.functions.ids import number_within, numbered
 
 
 @dataclass(frozen=True)
@@ -43,8 +42,10 @@ class PropertyGraph:
     @cached_property
     def edge_ids(self) -> DataFrame:
         """The edges with eid: a counter within the partition, by source and sink, beside the partition's number."""
-        order = Window.partitionBy("src_pid").orderBy("src", "dst", "value")
-        return self.edges.withColumn("eid", numbered(F.col("src_pid"), F.row_number().over(order) - 1))
+        from shardloom.operators.fixpoint import cut
+
+        counted = number_within(self.edges, "src_pid", ["src", "dst", "value"], "eid", lambda df: cut(df, "edge-ids"))
+        return counted.withColumn("eid", numbered(F.col("src_pid"), F.col("eid"))).select(*self.edges.columns, "eid")
 
     def edge(self, eid: int) -> DataFrame:
         return self.edge_ids.where(F.col("eid") == eid)

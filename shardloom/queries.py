@@ -182,7 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "subgraph_topology": _on(stats.subgraph_topology, "local"),
     "meta_graph": _on(stats.meta_graph),
     "meta_graph_multiset": _on(lambda g: stats.meta_graph(g, True)),
-    "meta_neighbours": _on(lambda g: stats.meta_neighbours(g).select("sgid", "n_local", F.coalesce(F.size("neighbours"), F.lit(0)).alias("n_neighbours"))),
+    "meta_neighbours": _on(lambda g: stats.meta_neighbours(g).select("sgid", "n_local", F.coalesce(F.size("neighbours"), F.lit(0)).alias("n_neighbours"), F.coalesce(F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["dst_sgid"].cast("string"), x["n_edges"].cast("string"))), " "), F.lit("")).alias("neighbours"))),
     "meta_diameter": _on(stats.meta_diameter),
     "graph_stats": _on(stats.graph_stats),
     "connected_components": _on(stats.connected_components),
@@ -220,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "subgraph_files_roundtrip": lambda s, d: _subgraph_files(s, d)[1],
     "subgraph_files_vertices": lambda s, d: _subgraph_files(s, d)[0].select("vid", "pid", "sgid", "value"),
     "subgraph_files_neighbours": lambda s, d: _subgraph_files(s, d)[2],
+    "neighbour_tuples_export": _on(writers.neighbour_tuple_lines),
     "relabel_map_export": lambda s, d: writers.map_lines(prepare.relabel(pairs(s, d))[1]),
     "gml_export": _on(writers.gml_lines),
     "blogel_multiset_export": q_blogel_multiset,
@@ -325,6 +326,38 @@ assigned AS (SELECT v.vid, coalesce(km.cluster, -1)::INTEGER AS cluster, km.dist
 
 
 
+#: Ranks within subgraphs until each has settled (bounded rounds; the rest of them change nothing), then over the whole graph until all have.
+_SETTLED = _with(_BASE, _GLUE, _labels("piece", "inner_arcs"), _SG, _FULL, _RANK, """
+ld AS (SELECT s AS vid, count(*) AS k FROM f WHERE ss = ds GROUP BY 1),
+size AS (SELECT sgid, count(*) AS n_sg FROM sg GROUP BY 1),
+a(it, vid, sgid, n_sg, pr, active) AS (
+  SELECT 0, vid, sgid, n_sg, 1.0::DOUBLE / n_sg, true FROM sg JOIN size USING (sgid)
+  UNION ALL SELECT it + 1, vid, sgid, n_sg, new, active AND max(abs(new - pr)) OVER (PARTITION BY sgid) > 0.05 FROM (
+    SELECT a.it, a.vid, a.sgid, a.n_sg, a.pr, a.active, CASE WHEN a.active THEN 0.85 * coalesce(x.got, 0) + 0.15::DOUBLE / a.n_sg ELSE a.pr END AS new
+    FROM a LEFT JOIN (SELECT f.d AS vid, sum(p.pr / ld.k) AS got FROM a p JOIN ld ON ld.vid = p.vid JOIN f ON f.s = p.vid AND f.ss = f.ds GROUP BY 1) x ON x.vid = a.vid WHERE a.it < 24))""", _rounds("r", "SELECT 0, vid, pr * n_sg / n.n FROM a, n WHERE it = 24", 30, "0.15 / any_value(n.n)"), """
+gap AS (SELECT b.it, max(abs(b.pr - a.pr)) AS gap FROM r a JOIN r b ON b.vid = a.vid AND b.it = a.it + 1 GROUP BY 1)""") + "SELECT vid, round(pr, 8) AS rank FROM r WHERE it = (SELECT min(it) FROM gap WHERE gap <= 1e-3)"
+
+
+def _attempt(i: int) -> str:
+    return f"""
+ctr{i} AS (SELECT vid, (row_number() OVER (ORDER BY vid) - 1)::INTEGER AS cluster FROM (SELECT vid FROM v ORDER BY md5('1:{i}:' || vid::VARCHAR), vid LIMIT 10)),
+km{i}(vid, dist, cluster) USING KEY (vid) AS (
+  SELECT vid, 0, cluster FROM ctr{i} UNION
+  SELECT e.d, r.dist + 1, min(r.cluster) FROM km{i} r JOIN e ON r.vid = e.s LEFT JOIN recurring.km{i} o ON o.vid = e.d WHERE o.vid IS NULL GROUP BY e.d, r.dist),
+in{i} AS (SELECT v.vid, coalesce(km{i}.cluster, -1)::INTEGER AS cluster, km{i}.dist::INTEGER AS dist FROM v LEFT JOIN km{i} USING (vid)),
+cut{i} AS (SELECT count(*) AS n FROM e JOIN in{i} a ON a.vid = e.s JOIN in{i} b ON b.vid = e.d WHERE a.cluster <> b.cluster)"""
+
+
+_KMEANS = _with(_BASE, _attempt(0), _attempt(1)) + "SELECT * FROM in0 WHERE (SELECT n FROM cut0) <= 75 UNION ALL SELECT * FROM in1 WHERE (SELECT n FROM cut0) > 75"
+_MESSAGES = _META + """, deg AS (SELECT s AS sgid, count(*) AS k FROM m GROUP BY 1),
+b(it, sgid, value, sends) AS (
+  SELECT 0, sgid, least(sgid, min(m.d)), true FROM sgs LEFT JOIN m ON m.s = sgid GROUP BY sgid
+  UNION ALL SELECT b.it + 1, b.sgid, least(b.value, x.low), coalesce(x.low < b.value, false)
+  FROM b LEFT JOIN (SELECT m.d AS sgid, min(p.value) AS low FROM b p JOIN m ON m.s = p.sgid WHERE p.sends GROUP BY 1) x ON x.sgid = b.sgid WHERE b.it < 60),
+t AS (SELECT it, coalesce(sum(k) FILTER (sends), 0)::BIGINT AS messages FROM b LEFT JOIN deg USING (sgid) GROUP BY 1)
+SELECT it AS superstep, messages FROM t WHERE it = 0 OR (SELECT o.messages FROM t o WHERE o.it = t.it - 1) > 0"""
+
+
 def _vote(i: int) -> str:
     return f"""
 n{i} AS (SELECT e.d AS vid, q.pid, count(*) AS n FROM e JOIN q{i} q ON q.vid = e.s GROUP BY ALL),
@@ -359,7 +392,12 @@ SELECT sgid, pid, count(*) AS n_local, coalesce(any_value(q), 0) AS n_remote, co
 FROM sg LEFT JOIN t ON t.ss = sgid LEFT JOIN q ON q.ss = sgid GROUP BY sgid, pid""",
     "meta_graph": _G + "SELECT ss AS src_sgid, ds AS dst_sgid, count(*) AS n_edges, count(DISTINCT d) AS n_remote_vertices FROM f WHERE ss <> ds GROUP BY ALL",
     "meta_graph_multiset": _G + "SELECT src_sgid, dst_sgid FROM (SELECT DISTINCT ss AS src_sgid, ds AS dst_sgid, d FROM f WHERE ss <> ds)",
-    "meta_neighbours": _G + "SELECT sgid, count(DISTINCT vid) AS n_local, count(DISTINCT ds)::INTEGER AS n_neighbours FROM sg LEFT JOIN f ON f.ss = sgid AND f.ss <> f.ds GROUP BY 1",
+    "meta_neighbours": _G + """, w AS (SELECT ss, ds, count(*) AS n FROM f WHERE ss <> ds GROUP BY ALL),
+l AS (SELECT ss, count(*)::INTEGER AS n_neighbours, string_agg(ds::VARCHAR || ':' || n::VARCHAR, ' ' ORDER BY ds) AS neighbours FROM w GROUP BY 1)
+SELECT sgid, count(*) AS n_local, coalesce(any_value(n_neighbours), 0)::INTEGER AS n_neighbours, coalesce(any_value(neighbours), '') AS neighbours FROM sg LEFT JOIN l ON l.ss = sgid GROUP BY 1""",
+    "neighbour_tuples_export": _G + """, i AS (SELECT s, d, (((s % 4)::BIGINT << 32) | (row_number() OVER (PARTITION BY s % 4 ORDER BY s, d) - 1))::BIGINT AS eid FROM e)
+SELECT (f.s % 4)::VARCHAR || ',' || f.s::VARCHAR || ',' || f.ss::VARCHAR || chr(9) || string_agg(i.eid::VARCHAR || ',' || f.d::VARCHAR || ',' || f.ds::VARCHAR || ',' || f.dp::VARCHAR, ':' ORDER BY i.eid) AS value
+FROM f JOIN i ON i.s = f.s AND i.d = f.d GROUP BY f.s, f.ss""",
     "meta_diameter": _META + """, far(root, sink, dist) USING KEY (root, sink) AS (
   SELECT sgid, sgid, 0 FROM sgs UNION
   SELECT r.root, m.d, min(r.dist) + 1 FROM far r JOIN m ON m.s = r.sink LEFT JOIN recurring.far o ON o.root = r.root AND o.sink = m.d WHERE o.sink IS NULL GROUP BY r.root, m.d)
@@ -386,6 +424,9 @@ hop(vid, dist) USING KEY (vid) AS (
     "subgraph_rank_compat": _seeded("0.0"),
     "pagerank_tol": _with(_BASE, _RANK, _rounds("r", "SELECT 0, vid, 1.0::DOUBLE / n FROM v, n", 30, "0.15 / any_value(n.n)"), """
 gap AS (SELECT b.it, max(abs(b.pr - a.pr)) AS gap FROM r a JOIN r b ON b.vid = a.vid AND b.it = a.it + 1 GROUP BY 1)""") + "SELECT vid, round(pr, 8) AS rank FROM r WHERE it = (SELECT min(it) FROM gap WHERE gap <= 1e-3)",
+    "subgraph_rank": _SETTLED,
+    "graph_kmeans": _KMEANS,
+    "bsp_metrics": _MESSAGES,
     "kcore": _CORE + "SELECT vid, core FROM final",
     "kcore_subgraph": _CORE + "SELECT e.s AS src, e.d AS dst FROM e JOIN final a ON a.vid = e.s JOIN final b ON b.vid = e.d WHERE a.core >= 3 AND b.core >= 3",
     "kmeans_assign": _KM + "SELECT vid, cluster, dist::INTEGER AS dist FROM assigned",

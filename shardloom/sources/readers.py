@@ -2,7 +2,8 @@
 
 vertices: vid, pid and what else the format has; arcs: src, dst, value and what
 else the format has.  Lines are parsed by built-in functions in the scan's
-stage; ids that aren't numbers give null rows, which are dropped.
+stage.  Rows and arcs whose ids aren't numbers, such as header lines, are dropped;
+other fields that aren't what they should be are null.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def adjacency(spark: SparkSession, path: str, sanitize: Sanitizer | None = None)
 
 def partitioned_adjacency(spark: SparkSession, path: str, sanitize: Sanitizer | None = None) -> tuple[DataFrame, DataFrame]:
     """``vid pid sink sink ...``."""
-    rows = _words(_lines(spark, path, sanitize)).where(F.element_at("w", 1).isNotNull())
-    return _adjacency(rows, F.element_at("w", 1), F.element_at("w", 2).cast("int"), 3)
+    rows = _words(_lines(spark, path, sanitize)).where(F.get("w", F.lit(0)).isNotNull() & F.get("w", F.lit(1)).isNotNull())
+    return _adjacency(rows, F.element_at("w", 1), F.element_at("w", 2).try_cast("int"), 3)
 
 
 def _adjacency(rows: DataFrame, vid: Column, pid: Column, first: int) -> tuple[DataFrame, DataFrame]:
@@ -55,18 +56,18 @@ def json_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``[vid, pid, value, [[sink, eid, value], ...]]``; values stay text."""
     cells = F.from_json("line", "array<string>")
     rows = _lines(spark, path).select(cells.alias("a"))
-    rows = rows.select(F.get("a", F.lit(0)).cast("long").alias("vid"), F.get("a", F.lit(1)).cast("int").alias("pid"), F.get("a", F.lit(2)).alias("value"), F.from_json(F.get("a", F.lit(3)), "array<array<string>>").alias("edges")).where("vid IS NOT NULL")
-    arcs = rows.select(F.col("vid").alias("src"), F.explode("edges").alias("x")).select("src", F.get("x", F.lit(0)).cast("long").alias("dst"), F.get("x", F.lit(1)).cast("long").alias("eid"), F.get("x", F.lit(2)).alias("value"))
-    return rows.select("vid", "pid", "value"), arcs
+    rows = rows.select(F.get("a", F.lit(0)).try_cast("bigint").alias("vid"), F.get("a", F.lit(1)).try_cast("int").alias("pid"), F.get("a", F.lit(2)).alias("value"), F.from_json(F.get("a", F.lit(3)), "array<array<string>>").alias("edges")).where("vid IS NOT NULL")
+    arcs = rows.select(F.col("vid").alias("src"), F.explode("edges").alias("x")).select("src", F.get("x", F.lit(0)).try_cast("bigint").alias("dst"), F.get("x", F.lit(1)).try_cast("bigint").alias("eid"), F.get("x", F.lit(2)).alias("value"))
+    return rows.select("vid", "pid", "value"), arcs.where("dst IS NOT NULL")
 
 
 def full_info(spark: SparkSession, path: str, pid_base: int = 0) -> tuple[DataFrame, DataFrame]:
     """``pid <tab> vid sgid (sink sgid pid)*``; ``pid_base`` is subtracted from the stored partition."""
-    rows = _lines(spark, path).select(F.split("line", "\t", 2).alias("p")).select((F.trim(F.get("p", F.lit(0))).cast("int") - pid_base).alias("pid"), F.transform(F.split(F.trim(F.get("p", F.lit(1))), r"\s+"), lambda x: x.cast("long")).alias("w"))
-    rows = rows.select("pid", F.element_at("w", 1).alias("vid"), F.element_at("w", 2).alias("sgid"), "w")
-    triples = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(3), F.size("w") - 2, F.lit(3)), lambda i: F.struct(F.element_at("w", i).alias("dst"), F.element_at("w", i + 1).alias("dst_sgid"), (F.element_at("w", i + 2) - pid_base).cast("int").alias("dst_pid"))))
+    rows = _lines(spark, path).select(F.split("line", "\t", 2).alias("p")).select((F.trim(F.get("p", F.lit(0))).try_cast("int") - pid_base).alias("pid"), F.transform(F.split(F.trim(F.get("p", F.lit(1))), r"\s+"), lambda x: x.try_cast("bigint")).alias("w"))
+    rows = rows.select("pid", F.get("w", F.lit(0)).alias("vid"), F.get("w", F.lit(1)).alias("sgid"), "w").where("pid IS NOT NULL AND vid IS NOT NULL AND sgid IS NOT NULL")
+    triples = F.when(F.size("w") > 4, F.transform(F.sequence(F.lit(3), F.size("w") - 2, F.lit(3)), lambda i: F.struct(F.element_at("w", i).alias("dst"), F.element_at("w", i + 1).alias("dst_sgid"), (F.element_at("w", i + 2) - pid_base).try_cast("int").alias("dst_pid"))))
     arcs = rows.select(F.col("vid").alias("src"), F.col("sgid").alias("src_sgid"), F.col("pid").alias("src_pid"), F.explode(triples).alias("x"))
-    return rows.select("vid", "pid", "sgid"), arcs.select("src", "x.dst", F.lit(None).cast("double").alias("value"), "src_pid", "x.dst_pid", "src_sgid", "x.dst_sgid")
+    return rows.select("vid", "pid", "sgid"), arcs.select("src", "x.dst", F.lit(None).cast("double").alias("value"), "src_pid", "x.dst_pid", "src_sgid", "x.dst_sgid").where("dst IS NOT NULL AND dst_pid IS NOT NULL AND dst_sgid IS NOT NULL")
 
 
 def subgraph_files(spark: SparkSession, path: str, delimiter: str = "\t", scale_weights: bool = False, sanitize: Sanitizer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,12 +79,12 @@ def subgraph_files(spark: SparkSession, path: str, delimiter: str = "\t", scale_
     whole = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     cut = lambda c: F.split(sanitize(c) if sanitize else c, F.lit(rf"\Q{delimiter}\E"))
     whole = whole.where(F.size("lines") > 0).select(cut(F.element_at("lines", 1)).alias("h"), F.slice("lines", 2, F.size("lines")).alias("body"))
-    whole = whole.select(F.get("h", F.lit(0)).cast("long").alias("sgid"), F.get("h", F.lit(1)).cast("int").alias("pid"), "h", "body")
-    near = F.when(F.size("h") > 3, F.transform(F.sequence(F.lit(3), F.size("h") - 1, F.lit(2)), lambda i: F.struct(F.element_at("h", i).cast("long").alias("neighbour_sgid"), F.element_at("h", i + 1).cast("int").alias("neighbour_pid"))))
-    neighbours = whole.select("sgid", F.explode(near).alias("x")).select("sgid", "x.*")
+    whole = whole.select(F.get("h", F.lit(0)).try_cast("bigint").alias("sgid"), F.get("h", F.lit(1)).try_cast("int").alias("pid"), "h", "body").where("sgid IS NOT NULL")
+    near = F.when(F.size("h") > 3, F.transform(F.sequence(F.lit(3), F.size("h") - 1, F.lit(2)), lambda i: F.struct(F.element_at("h", i).try_cast("bigint").alias("neighbour_sgid"), F.element_at("h", i + 1).try_cast("int").alias("neighbour_pid"))))
+    neighbours = whole.select("sgid", F.explode(near).alias("x")).select("sgid", "x.*").where("neighbour_sgid IS NOT NULL")
     rows = whole.select("sgid", "pid", F.explode("body").alias("line")).select("sgid", "pid", cut(F.col("line")).alias("w"))
-    rows = rows.select(F.get("w", F.lit(0)).cast("long").alias("vid"), "pid", "sgid", F.get("w", F.lit(1)).try_cast("double").alias("value"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0))).alias("sinks"))
-    arcs = rows.select(F.col("vid").alias("src"), F.explode("sinks").alias("dst")).select("src", F.col("dst").cast("long").alias("dst"))
+    rows = rows.select(F.get("w", F.lit(0)).try_cast("bigint").alias("vid"), "pid", "sgid", F.get("w", F.lit(1)).try_cast("double").alias("value"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0))).alias("sinks")).where("vid IS NOT NULL")
+    arcs = rows.select(F.col("vid").alias("src"), F.explode("sinks").alias("dst")).select("src", F.col("dst").try_cast("bigint").alias("dst")).where("dst IS NOT NULL")
     weight = ((F.col("src") + F.col("dst")) % 100).cast("double") if scale_weights else F.lit(None).cast("double")
     return rows.drop("sinks"), arcs.withColumn("value", weight), neighbours
 
@@ -92,13 +93,13 @@ def snap_edges(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of ``src dst`` lines; lines that begin with # are comments."""
     w = F.split(F.trim("line"), r"\s+")
     rows = _lines(spark, path).where(~F.col("line").startswith("#"))
-    return rows.select(F.get(w, F.lit(0)).cast("long").alias("src"), F.get(w, F.lit(1)).cast("long").alias("dst"))
+    return rows.select(F.get(w, F.lit(0)).try_cast("bigint").alias("src"), F.get(w, F.lit(1)).try_cast("bigint").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def partition_map(spark: SparkSession, path: str) -> DataFrame:
     """vid, pid of ``vid pid`` lines."""
     w = F.split(F.trim("line"), r"\s+")
-    return _lines(spark, path).select(F.get(w, F.lit(0)).cast("long").alias("vid"), F.get(w, F.lit(1)).cast("int").alias("pid"))
+    return _lines(spark, path).select(F.get(w, F.lit(0)).try_cast("bigint").alias("vid"), F.get(w, F.lit(1)).try_cast("int").alias("pid")).where("vid IS NOT NULL AND pid IS NOT NULL")
 
 
 def parquet_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -47,6 +47,14 @@ def full_info_lines(g: PropertyGraph) -> DataFrame:
     return g.vertices.join(near, "vid", "left").repartition("pid").sortWithinPartitions("pid", "vid").select("pid", line.alias("value"))
 
 
+def neighbour_tuple_lines(g: PropertyGraph) -> DataFrame:
+    """value: ``pid,vid,sgid <tab> eid,sink,sgid,pid:...`` of every vertex with arcs, each different sink once with its smallest edge id."""
+    arcs = g.edge_ids.groupBy("src_pid", "src", "src_sgid", "dst", "dst_sgid", "dst_pid").agg(F.min("eid").alias("eid"))
+    cell = F.struct("eid", F.concat_ws(",", *[F.col(c).cast("string") for c in ("eid", "dst", "dst_sgid", "dst_pid")]).alias("t"))
+    near = _sinks(arcs, ["src_pid", "src", "src_sgid"], cell, ":")
+    return near.select(F.concat(F.concat_ws(",", *[F.col(c).cast("string") for c in ("src_pid", "src", "src_sgid")]), F.lit("\t"), F.col("sinks")).alias("value"))
+
+
 def metis_lines(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """line, value of the METIS form of the undirected simple graph, and the map (new_id, old_id).
 
