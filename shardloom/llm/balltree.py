@@ -136,13 +136,19 @@ class BallTree:
                 if not better.any():
                     continue
                 rows, scores, taking_part = rows[better], scores[better], taking_part[better]
+                scores[~taking_part] = np.iinfo(np.int64).min
                 at = np.where(taking_part, np.arange(lo, hi)[None, :], -1)
                 merged, places = np.concatenate([best[rows], scores], 1), np.concatenate([found[rows], at], 1)
-                ids = np.where(places >= 0, self.ids[places], np.iinfo(np.int64).max)
-                top = np.lexsort((ids, ~merged, places < 0), axis=1)[:, :k]
+                top = np.argpartition(merged, -k, axis=1)[:, -k:]
+                least = np.take_along_axis(merged, top, 1).min(1)
+                # where more than k reach the kth score, ids decide
+                tied = np.flatnonzero((merged >= least[:, None]).sum(1) > k)
+                if len(tied):
+                    ids = np.where(places[tied] >= 0, self.ids[places[tied]], np.iinfo(np.int64).max)
+                    top[tied] = np.lexsort((ids, ~merged[tied], places[tied] < 0), axis=1)[:, :k]
                 best[rows], found[rows] = np.take_along_axis(merged, top, 1), np.take_along_axis(places, top, 1)
-                full = found[rows, -1] >= 0
-                bound[rows[full]] = np.maximum(bound[rows[full]], best[rows[full], -1].astype(float))
+                full = rows[(found[rows] >= 0).all(1)]
+                bound[full] = np.maximum(bound[full], best[full].min(1).astype(float))
         query, nth = np.nonzero(found >= 0)
         score = best[query, nth]
         keep = score.astype(float) >= kth[query]
@@ -286,7 +292,7 @@ def _search(folder: str, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def exact_top_k(points: DataFrame, asks: Column, k: int = 20, shard_rows: int = 16384, leaf: int = 128, visits: list | None = None) -> DataFrame:
+def exact_top_k(points: DataFrame, asks: Column, k: int = 20, shard_rows: int = 16384, leaf: int = 512, visits: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other points (columns id, v) of each point for which ``asks`` holds.
 
     ``visits``: a list that gets, for each round, the number of (query, shard) pairs searched.
