@@ -5,23 +5,43 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(f"file://{os.path.realpath(tempfile.mkdtemp(prefix='shardloom-'))}")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not named:
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(f"file://{os.path.realpath(tempfile.mkdtemp(prefix='shardloom-'))}")
+        named = context._jsc.sc().getCheckpointDir().get()
+    return "/".join([named.rstrip("/"), *_scratch[-1:]])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is written to the shared folder within the block goes to a folder of its own, which is deleted when the block ends.
+
+    Results read those tables when they are computed, so write them within the block, to another place.
+    """
+    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    folder = shared_dir(spark)
+    try:
+        yield folder
+    finally:
+        _scratch.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, what: str = "round", watch: dict[str, Column] | None = None) -> DataFrame:
