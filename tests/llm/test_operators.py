@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -706,3 +707,21 @@ def test_operators_bear_columns_with_their_own_names(spark, empty, labels, name)
     text = lambda r: repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r))
     assert sorted(map(text, got.collect())) == sorted(map(text, want.collect()))
     assert run(empty.withColumns({c: F.lit("mine") for c in CLASHES if c not in empty.columns}), labels.limit(0), bench.limit(0)).count() == 0
+
+
+def test_pipeline_runs_whole_and_leaves_only_its_result(spark, tmp_path, docs, empty, labels):
+    import corpus_pipeline
+    from shardloom.llm._spark import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    for name, table, marks in (("some", docs, labels), ("none", empty, labels.limit(0))):
+        path = f"{tmp_path}/{name}"
+        frame = table.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"), F.lit(1).alias("_toxic"), F.lit("x").alias("_coverage"))
+        frame.write.parquet(f"{path}/documents.parquet")
+        marks.write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(0, corpus()[12][1])], "item_id long, text string").limit(1 if name == "some" else 0).write.parquet(f"{path}/benchmark.parquet")
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        out = corpus_pipeline.run(spark, path)
+        left = set(os.listdir(folder)) - before
+        assert len(left) == 1 and next(iter(left)).startswith("pipeline-mixing")
+        assert out.columns == [*frame.columns, "copy"] and (out.count() > 0) == (name == "some")
