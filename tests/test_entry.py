@@ -13,7 +13,7 @@ from shardloom.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-QUICK = ["degrees", "subgraphs_glue", "subgraph_topology", "meta_graph", "connected_components", "sssp_parents", "triangles_per_subgraph", "pagerank_fixed", "kcore", "json_roundtrip", "metis_export", "partition_labels", "subgraph_files_neighbours", "distance_export", "pagerank_dangling", "blogel_multiset_export"]
+QUICK = ["degrees", "subgraphs_glue", "subgraph_topology", "meta_graph", "connected_components", "sssp_parents", "triangles_per_subgraph", "pagerank_fixed", "kcore", "json_roundtrip", "metis_export", "partition_labels", "subgraph_files_neighbours", "distance_export", "pagerank_dangling", "blogel_multiset_export", "meta_neighbours", "neighbour_tuples_export", "bsp_metrics", "graph_kmeans", "subgraph_rank", "edge_ids"]
 
 
 def plain(rows):
@@ -39,3 +39,11 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     code = "import sys; sys.modules['shardloom.llm'] = None\nimport __spark_entry__ as e\nassert 'pipeline' not in e.queries() and 'kcore' in e.queries()"
     root = os.path.dirname(os.path.abspath(entry.__file__))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
+def test_entry_works_without_a_library_that_only_the_subpackage_needs():
+    code = "import sys, warnings; sys.modules['zstandard'] = None\nwarnings.simplefilter('ignore')\nimport __spark_entry__ as e\nassert 'op7_warc' not in e.queries() and 'kcore' in e.queries()"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    if not os.path.isdir(os.path.join(root, "shardloom", "llm")):
+        pytest.skip("the subpackage is not here")
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
