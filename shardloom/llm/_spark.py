@@ -6,12 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.functions.shipping import ship
+from shardloom.functions.shipping import ship as _ship
 from shardloom.operators.fixpoint import shared_dir
 
 __all__ = ["discard", "remove", "shared_dir", "ship", "spare", "staged", "table", "without", "workspace"]
 
 
+#: Bytes of an Arrow batch on its way to a worker, where the session sets none (Spark's default is 64 MB): texts are long, and a task holds a batch on either side.
+BATCH_BYTES = 16 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable by the workers and bound the batches they are sent."""
+    _ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where the table has a column of that name: for columns that an operator needs for a while."""
     taken, out = {c.lower() for c in df.columns}, []
