@@ -52,7 +52,7 @@ HOT_MARGIN = 10
 #: Segment bytes in one suffix array; windows looked at in one step of the scan; segment bytes that a task holds to combine equal ones.
 CHUNK = 4 << 20
 BLOCK = 1 << 20
-COMBINE = 16 << 20
+COMBINE = 8 << 20
 BROADCAST_ROWS = 200_000
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -464,6 +464,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     clashing = clashing_keys(described)
     base, described = apart(base, clashing), apart(described, clashing)
     several = described.groupBy("c1", "c2").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.lit(True).alias("again"))
+    several = staged(several, "suffix-several")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     found = repeated_spans(base, described, length, gram).groupBy("c1").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = staged(found.mapInArrow(_merged, "c1 bigint, spans array<struct<lo: bigint, hi: bigint>>"), "suffix-merged")
     texts, pieces_of = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
