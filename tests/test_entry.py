@@ -13,7 +13,7 @@ from shardloom.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-QUICK = ["degrees", "subgraphs_glue", "subgraph_topology", "meta_graph", "connected_components", "sssp_parents", "triangles_per_subgraph", "pagerank_fixed", "kcore", "json_roundtrip", "metis_export", "partition_labels", "subgraph_files_neighbours", "distance_export", "pagerank_dangling", "blogel_multiset_export", "meta_neighbours", "neighbour_tuples_export", "bsp_metrics", "graph_kmeans", "subgraph_rank", "edge_ids"]
+QUICK = ["degrees", "subgraphs_glue", "subgraph_topology", "meta_graph", "connected_components", "sssp_parents", "triangles_per_subgraph", "pagerank_fixed", "kcore", "json_roundtrip", "metis_export", "partition_labels", "subgraph_files_neighbours", "distance_export", "pagerank_dangling", "blogel_multiset_export", "meta_neighbours", "neighbour_tuples_export", "edge_ids"]
 
 
 def plain(rows):
