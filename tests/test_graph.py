@@ -125,3 +125,29 @@ def test_user_errors_fail_the_run(spark):
 
     with pytest.raises(Exception, match="user code"):
         bsp.run_bsp(graph(spark, STAR), Broken(), "sgid long, value long")
+
+
+def test_messages_to_all_are_combined(spark):
+    class Uncombined(bsp.CountVertices):
+        combine = None
+
+    g = graph(spark, PATH5, "local")
+    for program, received in ((bsp.CountVertices(), 3), (Uncombined(), 9)):
+        counts, log, _ = bsp.run_bsp(g, program, "sgid long, vertices long")
+        assert pairs(counts, "sgid", "vertices") == [(0, 5), (1 << 32, 5), (2 << 32, 5)]
+        # one message for each subgraph, not one for each pair
+        assert log.where("metric = 'received' AND superstep = 1").agg({"amount": "sum"}).first()[0] == received
+
+
+def test_messages_to_vertices_that_the_sender_does_not_know(spark):
+    class Far(bsp.SubgraphComputation):
+        def compute(self, ctx, messages):
+            if ctx.superstep == 0 and ctx.graph.pid == 0:
+                ctx.send_to_vertex(4, "far")
+                ctx.send_to_vertex(2, "near")
+                ctx.send_to_vertex(1, "own")
+            ctx.value = (ctx.value or "") + "".join(m.payload for m in messages)
+            ctx.vote_to_halt()
+
+    got, _, _ = bsp.run_bsp(graph(spark, PATH5), Far(), "sgid long, value string")
+    assert pairs(got, "sgid", "value") == [(0, "own"), (1 << 32, "near"), (2 << 32, "far")]
