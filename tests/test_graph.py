@@ -151,3 +151,28 @@ def test_messages_to_vertices_that_the_sender_does_not_know(spark):
 
     got, _, _ = bsp.run_bsp(graph(spark, PATH5), Far(), "sgid long, value string")
     assert pairs(got, "sgid", "value") == [(0, "own"), (1 << 32, "near"), (2 << 32, "far")]
+
+
+def test_a_graph_computes_its_arcs_once_for_all_steps(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    arcs = prepare.symmetrize(spark.createDataFrame(PATH5[0], "src long, dst long")).withColumn("value", F.udf(count, "double")(F.col("src").cast("double")))
+    g = prepare.build_graph(spark.createDataFrame(list(PATH5[1].items()), "vid long, pid int"), arcs)
+    assert g.edges.count() == 8 and g.vertices.count() == 5
+    assert seen.value <= 2 * 8  # once for dangling sinks, once for the arcs
+
+
+def test_what_loops_write_broadcasts_only_small_tables(spark):
+    from shardloom.operators import fixpoint
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    with fixpoint.small_broadcasts(spark):
+        assert spark.conf.get(name) == str(1 << 20)
+    assert spark.conf.get(name) == before
