@@ -75,3 +75,16 @@ def test_round_trips_and_exports(spark, tmp_path):
     assert sorted(r.value for r in writers.distance_lines(g, dist).collect()) == ["0\t0", "1\t1", "2\t32767", "7\t32767"]
     assert writers.gml_lines(g).count() == 2 + 4 + 4
     assert sorted(r.value for r in writers.vertex_value_lines(dist, " ").collect()) == ["0 0", "1 1"]
+
+
+def test_subgraph_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    parts = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (7, 1)], "vid long, pid int")
+    g = prepare.build_graph(parts, spark.createDataFrame(ARCS, "src long, dst long"))
+    path = f"file://{tmp_path}/files"
+    assert writers.write_subgraph_files(writers.subgraph_file_lines(g), path) == g.vertices.select("sgid").distinct().count()
+    files = {p.name: p.read_text() for p in (tmp_path / "files").glob("part-*/*")}
+    first = 1 << 32
+    assert files["0"] == f"0\t0\t{first}\t1\n0\t0\t1\n1\t0\t0\t2\n"
+    v, a, near = readers.subgraph_files(spark, path, foldered=True)
+    assert rows(v, "vid", "pid") == [(0, 0), (1, 0), (2, 1), (7, 1)] and rows(a, "src", "dst") == ARCS
+    assert rows(near, "sgid", "neighbour_sgid", "neighbour_pid") == [(0, first, 1), (first, 0, 0)]
