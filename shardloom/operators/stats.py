@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.ids import number_within
+from shardloom.functions.shipping import ship
 from shardloom.operators.fixpoint import components, cut, drop
 from shardloom.plans.model import PropertyGraph
 
+#: Searches that bound others before the nodes that are left are searched from, and bytes of what these hold.
+SEARCHES, SEARCH_BYTES = 256, 32 << 20
+
 
 def vertex_count(g: PropertyGraph) -> DataFrame:
     return g.vertices.agg(F.count("*").alias("vertices"))
@@ -67,16 +75,116 @@ def meta_neighbours(g: PropertyGraph) -> DataFrame:
     return local.join(near, "sgid", "left")
 
 
-def meta_diameter(g: PropertyGraph, roots: int = 4096) -> DataFrame:
+def _search(root: int, starts: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hops from a node to every node, -1 where there is no path; node i's arcs lead to at[starts[i]:starts[i + 1]]."""
+    dist = np.full(n, -1, np.int64)
+    dist[root], front, hops = 0, np.array([root]), 0
+    while len(front):
+        hops += 1
+        size = starts[front + 1] - starts[front]
+        ends = size.cumsum()
+        near = at[np.arange(ends[-1]) + np.repeat(starts[front] - ends + size, size)]
+        front = np.unique(near[dist[near] < 0])
+        dist[front] = hops
+    return dist
+
+
+def _searches(roots: np.ndarray, via: np.ndarray, at: np.ndarray, n: int) -> int:
+    """The largest number of hops from any of the roots to a node it reaches: 64 roots to a word, in bounded memory; arcs sorted by ``at``."""
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    sinks, words, most = at[begins], max(1, SEARCH_BYTES // (8 * max(n, len(at)))), 0
+    for first in range(0, len(roots), 64 * words):
+        some = roots[first : first + 64 * words]
+        front = np.zeros((n, -(-len(some) // 64)), np.uint64)
+        place = np.arange(len(some))
+        front[some, place // 64] = np.uint64(1) << (place % 64).astype(np.uint64)
+        seen, hops = front.copy(), 0
+        while True:
+            got = np.bitwise_or.reduceat(front[via], begins, axis=0) & ~seen[sinks]
+            if not got.any():
+                break
+            hops += 1
+            seen[sinks] |= got
+            front[:] = 0
+            front[sinks] = got
+        most = max(most, hops)
+    return most
+
+
+def diameter(via: np.ndarray, at: np.ndarray) -> int:
+    """The largest finite distance between nodes of the arcs of one component, exactly.
+
+    If every arc has its opposite, each search bounds the distances from all other nodes
+    (Takes and Kosters), so that few are needed; all nodes that the bounds leave, and
+    all of other arcs, are searched from.
+    """
+    nodes, both = np.unique(np.concatenate([via, at]), return_inverse=True)
+    n = len(nodes)
+    arcs = np.unique(both[: len(via)] * n + both[len(via) :])
+    via, at = arcs // n, arcs % n
+    back = np.sort(at * n + via)
+    left, most = np.arange(n), 0
+    if np.array_equal(arcs, back):
+        starts = np.searchsorted(via, np.arange(n + 1))
+        low, high = np.zeros(n, np.int64), np.full(n, n, np.int64)
+        for turn in range(SEARCHES):
+            if not len(left):
+                return most
+            root = int(left[high[left].argmax()] if turn % 2 else left[low[left].argmin()]) if turn else int(np.diff(starts).argmax())
+            dist = _search(root, starts, at, n)
+            far = int(dist.max())
+            most = max(most, far)
+            low = np.maximum(low, np.maximum(dist, far - dist))
+            high = np.minimum(high, far + dist)
+            high[root] = far
+            left = left[high[left] > most]
+    return max(most, _searches(left, back % n, back // n, n)) if len(left) else most
+
+
+def _diameters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest diameter of a task's components; rows come sorted by component."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last, most = None, 0
+    for batch in batches:
+        key, via, at = (x.to_numpy() for x in batch.columns)
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
+            if held and key[x] != last:
+                most = max(most, diameter(*(np.concatenate(c) for c in zip(*held, strict=True))))
+                held = []
+            last = key[x]
+            held.append((via[x:y], at[x:y]))
+    if held:
+        most = max(most, diameter(*(np.concatenate(c) for c in zip(*held, strict=True))))
+    yield pa.RecordBatch.from_arrays([pa.array([most], pa.int64())], ["hops"])
+
+
+def meta_diameter(g: PropertyGraph, roots: int = 4096, arcs_per_task: int = 1 << 20) -> DataFrame:
     """hops (largest finite distance between subgraphs) and reference_diameter (hops + 1).
 
-    All pairs are searched, from ``roots`` subgraphs at a time, by ranges of
-    their ids, so what is held at once is ``roots`` times the subgraphs, whatever
-    their number.
+    A component of the graph of subgraphs with up to ``arcs_per_task`` arcs is searched by
+    one task.  In larger ones all pairs are searched by joins, from ``roots`` subgraphs
+    at a time, by ranges of their ids, so what is held at once is ``roots`` times the
+    subgraphs, whatever their number.
     """
     spark = g.vertices.sparkSession
+    ship(spark)
     arcs = cut(g.meta_edges.select(F.col("src_sgid").alias("via"), F.col("dst_sgid").alias("at")), "meta")
-    numbered = cut(number_within(g.vertices.select("sgid").distinct(), None, ["sgid"], "n", lambda df: cut(df, "meta")), "meta", {"n": F.count(F.lit(1))})
+    label = components(arcs.select(F.col("via").alias("src"), F.col("at").alias("dst"))).select(F.col("node").alias("via"), "component")
+    arcs = cut(arcs.join(label, "via").select("component", "via", "at"), "meta")
+    sizes = arcs.groupBy("component").agg(F.count("*").alias("arcs"))
+    large = cut(sizes.where(F.col("arcs") > arcs_per_task).select("component"), "meta", {"n": F.count(F.lit(1))})
+    small = arcs.join(large, "component", "left_anti") if large._watched["n"] else arcs
+    most = small.repartition("component").sortWithinPartitions("component").mapInArrow(_diameters, "hops bigint").agg(F.max("hops")).first()[0] or 0
+    if large._watched["n"]:
+        most = max(most, _joined_diameter(arcs.join(large, "component", "left_semi").select("via", "at"), roots))
+    return spark.createDataFrame([(most, most + 1)], "hops int, reference_diameter int")
+
+
+def _joined_diameter(arcs: DataFrame, roots: int) -> int:
+    """The largest finite distance, from ``roots`` nodes at a time."""
+    arcs = cut(arcs, "meta")
+    numbered = cut(number_within(arcs.select(F.col("via").alias("sgid")).distinct(), None, ["sgid"], "n", lambda df: cut(df, "meta")), "meta", {"n": F.count(F.lit(1))})
     most = 0
     for first in range(0, numbered._watched["n"] or 0, roots):
         own = numbered.where((F.col("n") >= first) & (F.col("n") < first + roots))
@@ -93,7 +201,7 @@ def meta_diameter(g: PropertyGraph, roots: int = 4096) -> DataFrame:
             hops += 1
         drop(seen)
         most = max(most, hops)
-    return spark.createDataFrame([(most, most + 1)], "hops int, reference_diameter int")
+    return most
 
 
 def graph_stats(g: PropertyGraph) -> DataFrame:

@@ -176,3 +176,39 @@ def test_what_loops_write_broadcasts_only_small_tables(spark):
     with fixpoint.small_broadcasts(spark):
         assert spark.conf.get(name) == str(1 << 20)
     assert spark.conf.get(name) == before
+
+
+def test_diameters_equal_searches_from_all_nodes(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    def plain(arcs):
+        most = 0
+        for root in {a for a, _ in arcs}:
+            dist, front = {root: 0}, [root]
+            while front:
+                front = list({w for v in front for u, w in arcs if u == v and w not in dist})
+                most = max(most, max(dist.values()) + 1) if front else most
+                dist.update(dict.fromkeys(front, max(dist.values()) + 1))
+        return most
+
+    rng = random.Random(7)
+    for searches, room in ((256, 32 << 20), (2, 1)):
+        monkeypatch.setattr(stats, "SEARCHES", searches)
+        monkeypatch.setattr(stats, "SEARCH_BYTES", room)
+        for n in (2, 9, 40, 90):
+            arcs = {(v, rng.randrange(max(0, v - 4), v)) for v in range(1, n)} | {(rng.randrange(n), rng.randrange(n)) for _ in range(n // 4)}
+            arcs = {(a, b) for a, b in arcs if a != b}
+            for shape in (arcs, arcs | {(b, a) for a, b in arcs}):
+                via, at = (np.array(x) for x in zip(*shape, strict=True))
+                assert stats.diameter(via * 10**12, at * 10**12) == plain(shape)
+
+
+def test_meta_diameter_of_components_in_tasks_and_by_joins(spark):
+    path = ([(v, v + 1) for v in range(6)] + [(10, 11), (11, 12)], {v: v % 3 for v in [*range(7), 10, 11, 12, 20]})
+    g = graph(spark, path, "local")
+    for arcs_per_task in (1 << 20, 5, 0):
+        assert stats.meta_diameter(g, 2, arcs_per_task).first().hops == 6
+    one = prepare.build_graph(spark.createDataFrame([(0, 0)], "vid long, pid int"), spark.createDataFrame([], "src long, dst long"))
+    assert stats.meta_diameter(one).first().hops == 0
