@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shardloom.operators.fixpoint import cut, fixpoint
+from shardloom.operators.fixpoint import BROADCAST_ROWS, cut, fixpoint
 from shardloom.operators.prepare import drop_self_loops, symmetrize
 from shardloom.plans.model import PropertyGraph
 
@@ -17,7 +17,7 @@ def triangle_list(g: PropertyGraph) -> DataFrame:
     Arcs point from the end of smaller (degree, id) to the larger, so no
     vertex starts more than about sqrt(2 E) of them and wedges stay few.
     """
-    both = drop_self_loops(symmetrize(g.edges.select("src", "dst")))
+    both = drop_self_loops(symmetrize(g.arcs.select("src", "dst")))
     degree = both.groupBy("src").agg(F.count("*").alias("k"))
     ranked = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("k").alias("k_dst")), "dst")
     up = cut(ranked.where(F.struct("k", "src") < F.struct(F.col("k_dst").alias("k"), F.col("dst").alias("src"))).select("src", "dst"), "oriented")
@@ -53,14 +53,15 @@ def kcore(g: PropertyGraph) -> DataFrame:
     estimates until nothing changes.  Neighbours are counted by estimate, so a
     hub costs as many rows as it has different estimates around it.
     """
-    arcs = cut(drop_self_loops(symmetrize(g.edges.select("src", "dst"))), "core-arcs")
+    arcs = cut(drop_self_loops(symmetrize(g.arcs.select("src", "dst"))), "core-arcs")
     degree = arcs.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("n"))
-    start = g.vertices.select("vid").join(degree, "vid", "left").select("vid", F.coalesce("n", F.lit(0)).cast("int").alias("core"), F.lit(True).alias("fresh"))
+    start = g.nodes.select("vid").join(degree, "vid", "left").select("vid", F.coalesce("n", F.lit(0)).cast("int").alias("core"), F.lit(True).alias("fresh"))
     above = Window.partitionBy("src").orderBy(F.desc("c"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
         # only neighbours of what fell in the last round can fall
         fell = state.where("fresh").select(F.col("vid").alias("dst"))
+        fell = F.broadcast(fell) if state._watched["fresh"] <= BROADCAST_ROWS else fell
         hit = arcs.join(fell, "dst", "left_semi").select("src").distinct()
         seen = arcs.join(hit, "src", "left_semi").join(state.select(F.col("vid").alias("dst"), F.col("core").alias("theirs")), "dst").join(state.select(F.col("vid").alias("src"), F.col("core").alias("mine")), "src")
         counted = seen.groupBy("src", F.least("theirs", "mine").alias("c")).agg(F.count("*").alias("n"))
@@ -74,4 +75,5 @@ def kcore(g: PropertyGraph) -> DataFrame:
 def kcore_subgraph(g: PropertyGraph, k: int) -> DataFrame:
     """src, dst of the arcs within the k-core."""
     inside = cut(kcore(g).where(F.col("core") >= k).select("vid"), "core")
-    return g.edges.select("src", "dst").join(inside.withColumnRenamed("vid", "src"), "src", "left_semi").join(inside.withColumnRenamed("vid", "dst"), "dst", "left_semi")
+    # cut, or the joins send what Spark's estimate allows outside of loops
+    return cut(g.arcs.select("src", "dst").join(inside.withColumnRenamed("vid", "src"), "src", "left_semi").join(inside.withColumnRenamed("vid", "dst"), "dst", "left_semi"), "core-arcs")

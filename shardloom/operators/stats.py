@@ -19,15 +19,15 @@ SEARCHES, SEARCH_BYTES = 256, 32 << 20
 
 
 def vertex_count(g: PropertyGraph) -> DataFrame:
-    return g.vertices.agg(F.count("*").alias("vertices"))
+    return g.nodes.agg(F.count("*").alias("vertices"))
 
 
 def edge_count(g: PropertyGraph) -> DataFrame:
-    return g.edges.agg(F.count("*").alias("edges"))
+    return g.arcs.agg(F.count("*").alias("edges"))
 
 
 def edge_list(g: PropertyGraph) -> DataFrame:
-    return g.edges.select("src", "dst")
+    return g.arcs.select("src", "dst")
 
 
 def dump(g: PropertyGraph) -> DataFrame:
@@ -41,8 +41,8 @@ def dump(g: PropertyGraph) -> DataFrame:
 
 def degrees(g: PropertyGraph) -> DataFrame:
     """vid, out_degree, in_degree of every vertex."""
-    ends = g.edges.select(F.col("src").alias("vid"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(g.edges.select(F.col("dst").alias("vid"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    every = ends.unionByName(g.vertices.select("vid", F.lit(0).alias("o"), F.lit(0).alias("i")))
+    ends = g.arcs.select(F.col("src").alias("vid"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(g.arcs.select(F.col("dst").alias("vid"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    every = ends.unionByName(g.nodes.select("vid", F.lit(0).alias("o"), F.lit(0).alias("i")))
     return every.groupBy("vid").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
@@ -213,8 +213,8 @@ def graph_stats(g: PropertyGraph) -> DataFrame:
 
 def connected_components(g: PropertyGraph) -> DataFrame:
     """vid, component: the smallest vid reachable when arcs count both ways."""
-    label = components(g.edges.select("src", "dst")).select(F.col("node").alias("vid"), "component")
-    return g.vertices.select("vid").join(label, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
+    label = components(g.arcs.select("src", "dst")).select(F.col("node").alias("vid"), "component")
+    return g.nodes.select("vid").join(label, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
 
 
 def subgraph_components(g: PropertyGraph) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.operators.fixpoint import cut, fixpoint
+from shardloom.operators.fixpoint import BROADCAST_ROWS, cut, fixpoint
 from shardloom.operators.prepare import symmetrize
 from shardloom.operators.stats import connected_components
 from shardloom.plans.model import PropertyGraph
@@ -22,7 +22,9 @@ def spread(start: DataFrame, arcs: DataFrame, move: Column, max_rounds: int | No
     first = start.groupBy("vid").agg(F.min("label").alias("label")).withColumn("fresh", F.lit(True))
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        sent = state.where("fresh").select(F.col("vid").alias("src"), "label").join(arcs, "src").select(F.col("dst").alias("vid"), move.alias("label"), F.lit(None).cast(state.schema["label"].dataType).alias("old"))
+        fresh = state.where("fresh").select(F.col("vid").alias("src"), "label")
+        fresh = F.broadcast(fresh) if state._watched["fresh"] <= BROADCAST_ROWS else fresh
+        sent = arcs.join(fresh, "src").select(F.col("dst").alias("vid"), move.alias("label"), F.lit(None).cast(state.schema["label"].dataType).alias("old"))
         both = state.select("vid", "label", F.col("label").alias("old")).unionByName(sent).groupBy("vid").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         return both.select("vid", "label", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
 
@@ -30,17 +32,19 @@ def spread(start: DataFrame, arcs: DataFrame, move: Column, max_rounds: int | No
     return state.select("vid", "label")
 
 
-def sssp(g: PropertyGraph, source: int, weighted: bool = False) -> DataFrame:
-    """vid, dist, parent of every vertex reachable from the source.
+def sssp(g: PropertyGraph, source: int, weighted: bool = False, parents: bool = True) -> DataFrame:
+    """vid, dist and, unless ``parents`` is false, parent of every vertex reachable from the source.
 
     Weights are the arcs' values, which must not be negative; an arc without
     one weighs 1.  The parent is the smallest predecessor on a shortest path;
     the source's is null.
     """
     weight = F.coalesce("value", F.lit(1.0)) if weighted else F.lit(1)
-    arcs = g.edges.select("src", "dst", weight.alias("w"))
-    start = g.vertices.where(F.col("vid") == source).select("vid", (F.lit(0.0) if weighted else F.lit(0)).alias("label"))
+    arcs = g.arcs.select("src", "dst", weight.alias("w"))
+    start = g.nodes.where(F.col("vid") == source).select("vid", (F.lit(0.0) if weighted else F.lit(0)).alias("label"))
     dist = spread(start, arcs, F.col("label") + F.col("w"))
+    if not parents:
+        return dist.select("vid", F.col("label").alias("dist"))
     before = dist.select(F.col("vid").alias("src"), F.col("label").alias("d")).join(arcs, "src").select(F.col("dst").alias("vid"), (F.col("d") + F.col("w")).alias("label"), "src")
     parent = before.join(dist, ["vid", "label"]).where(F.col("vid") != source).groupBy("vid").agg(F.min("src").alias("parent"))
     return dist.join(parent, "vid", "left").select("vid", F.col("label").alias("dist"), "parent")
@@ -48,7 +52,7 @@ def sssp(g: PropertyGraph, source: int, weighted: bool = False) -> DataFrame:
 
 def spanning_forest(g: PropertyGraph) -> DataFrame:
     """vid, parent, root, level of every vertex: breadth first from the smallest vertex of each component; a root's parent is null."""
-    arcs = cut(symmetrize(g.edges.select("src", "dst")), "forest")
+    arcs = cut(symmetrize(g.arcs.select("src", "dst")), "forest")
     roots = cut(connected_components(g), "forest")
     start = roots.where("vid = component").select("vid", F.lit(0).alias("label"))
     level = spread(start, arcs, F.col("label") + 1)
@@ -60,22 +64,22 @@ def spanning_forest(g: PropertyGraph) -> DataFrame:
 def assign_clusters(g: PropertyGraph, centres: DataFrame) -> DataFrame:
     """vid, cluster, dist: the nearest centre by hops, of several the one with the smaller cluster number; -1 where none reaches."""
     start = centres.select("vid", F.struct(F.lit(0).alias("dist"), F.col("cluster").cast("int").alias("cluster")).alias("label"))
-    label = spread(start, g.edges.select("src", "dst"), F.struct((F.col("label.dist") + 1).alias("dist"), F.col("label.cluster").alias("cluster")))
-    return g.vertices.select("vid").join(label, "vid", "left").select("vid", F.coalesce("label.cluster", F.lit(-1)).alias("cluster"), F.col("label.dist").alias("dist"))
+    label = spread(start, g.arcs.select("src", "dst"), F.struct((F.col("label.dist") + 1).alias("dist"), F.col("label.cluster").alias("cluster")))
+    return g.nodes.select("vid").join(label, "vid", "left").select("vid", F.coalesce("label.cluster", F.lit(-1)).alias("cluster"), F.col("label.dist").alias("dist"))
 
 
 def edge_cut(g: PropertyGraph, clusters: DataFrame) -> DataFrame:
     """Number of arcs whose ends are in different clusters."""
     a, b = (clusters.select(F.col("vid").alias(c), F.col("cluster").alias(f"c_{c}")) for c in ("src", "dst"))
-    return g.edges.select("src", "dst").join(a, "src").join(b, "dst").agg(F.count_if(F.col("c_src") != F.col("c_dst")).alias("edge_cut"))
+    return g.arcs.select("src", "dst").join(a, "src").join(b, "dst").agg(F.count_if(F.col("c_src") != F.col("c_dst")).alias("edge_cut"))
 
 
 def pick_centres(g: PropertyGraph, k: int, seed: int, attempt: int) -> DataFrame:
     """k vertices by MD5 of seed, attempt and vid, numbered from 0 in order of vid."""
     name = F.concat_ws(":", F.lit(str(seed)), F.lit(str(attempt)), F.col("vid").cast("string"))
-    chosen = g.vertices.select("vid").withColumn("key", F.md5(name.cast("binary"))).orderBy("key", "vid").limit(k)
+    chosen = g.nodes.select("vid").withColumn("key", F.md5(name.cast("binary"))).orderBy("key", "vid").limit(k)
     rows = sorted(r["vid"] for r in chosen.collect())  # k rows
-    return g.vertices.sparkSession.createDataFrame(list(enumerate(rows)), "cluster int, vid long")
+    return g.nodes.sparkSession.createDataFrame(list(enumerate(rows)), "cluster int, vid long")
 
 
 def graph_kmeans(g: PropertyGraph, k: int, max_cut: int, max_iter: int, seed: int = 1) -> tuple[DataFrame, int, int]:

@@ -169,6 +169,8 @@ def test_a_graph_computes_its_arcs_once_for_all_steps(spark):
 
 
 def test_what_loops_write_broadcasts_only_small_tables(spark):
+    import numpy as np
+
     from shardloom.operators import fixpoint
 
     name = "spark.sql.autoBroadcastJoinThreshold"
@@ -212,3 +214,42 @@ def test_meta_diameter_of_components_in_tasks_and_by_joins(spark):
         assert stats.meta_diameter(g, 2, arcs_per_task).first().hops == 6
     one = prepare.build_graph(spark.createDataFrame([(0, 0)], "vid long, pid int"), spark.createDataFrame([], "src long, dst long"))
     assert stats.meta_diameter(one).first().hops == 0
+
+
+def test_components_are_contracted_in_tasks_at_any_size(spark, monkeypatch):
+    import numpy as np
+
+    from shardloom.operators import fixpoint
+
+    rng = np.random.default_rng(5)
+    near = [(i, i + 1) for i in range(400) if i % 50]  # neighbours have near ids
+    far = [(int(a), int(b)) for a, b in rng.integers(0, 600, (500, 2)) * 1_000_003]
+    for edges in (near + far, [(7, 7)]):
+        root = {v: v for e in edges if e[0] != e[1] for v in e}
+        for _ in root:
+            before = dict(root)
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                break
+        df = spark.createDataFrame(edges, "src long, dst long")
+        for limit in (1 << 20, 256):
+            monkeypatch.setattr(fixpoint, "TASK_EDGES", limit)
+            assert {r["node"]: r["component"] for r in fixpoint.components(df).collect()} == root
+
+
+def test_subgraphs_are_formed_only_for_what_needs_them(spark):
+    from pyspark.sql import functions as F
+
+    arcs = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 7), (5, 7)], "src long, dst long")
+    rule = lambda vid: (vid % 2).cast("int")
+    g = prepare.build_graph(rule, arcs)
+    assert sorted(map(tuple, stats.degrees(g).collect())) == [(0, 1, 1), (1, 2, 1), (2, 1, 1), (5, 1, 0), (7, 0, 2)]
+    assert cohesion.kcore(g).count() == 5 and traversal.sssp(g, 0).count() == 4
+    assert "vertices" not in vars(g) and "edges" not in vars(g)
+    # a sink without arcs of its own goes to its smallest source's partition, as with a table of partitions
+    parts = arcs.select(F.col("src").alias("vid")).distinct().select("vid", rule(F.col("vid")).alias("pid"))
+    same = prepare.build_graph(parts, arcs)
+    assert sorted(map(tuple, g.vertices.collect())) == sorted(map(tuple, same.vertices.select(*g.vertices.columns).collect()))
+    assert sorted(map(repr, g.edges.collect())) == sorted(map(repr, same.edges.select(*g.edges.columns).collect()))
