@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shardloom.operators.fixpoint import BROADCAST_ROWS, cut, fixpoint
+from shardloom.functions.shipping import ship
+from shardloom.operators.fixpoint import BROADCAST_ROWS, TASK_EDGES, components, cut, fixpoint, whole
 from shardloom.operators.prepare import drop_self_loops, symmetrize
 from shardloom.plans.model import PropertyGraph
 
@@ -46,16 +51,71 @@ def triangles_per_subgraph(g: PropertyGraph) -> DataFrame:
     return out.groupBy(owner.alias("sgid")).agg(F.count("*").alias("triangles"))
 
 
-def kcore(g: PropertyGraph) -> DataFrame:
+def peel(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and their core numbers; an edge counts both ways and once."""
+    names, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n = len(names)
+    a, b = both[: len(src)], both[len(src) :]
+    arcs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    via, at = arcs // n, arcs % n
+    starts = np.searchsorted(via, np.arange(n + 1))
+    degree, core = np.diff(starts), np.full(n, -1, np.int32)
+    left, k = np.arange(n), 0
+    while len(left):
+        k = max(k, int(degree[left].min()))
+        front = left[degree[left] <= k]
+        while len(front):
+            core[front] = k
+            size = starts[front + 1] - starts[front]
+            ends = size.cumsum()
+            near = at[np.arange(ends[-1]) + np.repeat(starts[front] - ends + size, size)]
+            near, lost = np.unique(near[core[near] < 0], return_counts=True)
+            degree[near] -= lost
+            front = near[degree[near] <= k]
+        left = left[core[left] < 0]
+    return names, core
+
+
+def _peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Core numbers of a task's components, many at a time: those of one don't depend on others."""
+    for _, src, dst in whole(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in peel(src, dst)], ["vid", "core"])
+
+
+def kcore(g: PropertyGraph, arcs_per_task: int = TASK_EDGES) -> DataFrame:
     """vid, core: the largest k for which the vertex is in a part where all have k neighbours.
 
+    Components of up to ``arcs_per_task`` arcs are peeled in tasks, without rounds;
+    in larger ones estimates fall (``_falling``).
+    """
+    ship(g.arcs.sparkSession)
+    kind = g.arcs.schema["src"].dataType
+    arcs = drop_self_loops(g.arcs).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    label = components(arcs).select(F.col("node").alias("src"), "component")
+    arcs = cut(arcs.join(label, "src").select("component", "src", "dst"), "core-arcs", {"n": F.count(F.lit(1))})
+    small, large = arcs, None
+    if arcs._watched["n"] > arcs_per_task:
+        sizes = arcs.groupBy("component").agg(F.count("*").alias("arcs"))
+        big = cut(sizes.where(F.col("arcs") > arcs_per_task).select("component"), "core", {"n": F.count(F.lit(1))})
+        if big._watched["n"]:
+            small, large = arcs.join(big, "component", "left_anti"), arcs.join(big, "component", "left_semi")
+    core = cut(small.repartition("component").sortWithinPartitions("component").mapInArrow(_peeled, "vid bigint, core int"), "core")
+    if large is not None:
+        core = core.unionByName(_falling(large.select("src", "dst")))
+    core = core.select(F.col("vid").cast(kind).alias("vid"), "core")
+    # cut, or the join sends what Spark's estimate allows outside of loops
+    return cut(g.nodes.select("vid").join(core, "vid", "left").select("vid", F.coalesce("core", F.lit(0)).alias("core")), "core")
+
+
+def _falling(arcs: DataFrame) -> DataFrame:
+    """vid, core of the ends of arcs.
+
     Estimates start at the degree and fall to the h-index of the neighbours'
     estimates until nothing changes.  Neighbours are counted by estimate, so a
     hub costs as many rows as it has different estimates around it.
     """
-    arcs = cut(drop_self_loops(symmetrize(g.arcs.select("src", "dst"))), "core-arcs")
-    degree = arcs.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("n"))
-    start = g.nodes.select("vid").join(degree, "vid", "left").select("vid", F.coalesce("n", F.lit(0)).cast("int").alias("core"), F.lit(True).alias("fresh"))
+    arcs = cut(symmetrize(arcs), "core-arcs")
+    start = arcs.groupBy(F.col("src").alias("vid")).agg(F.count("*").cast("int").alias("core")).withColumn("fresh", F.lit(True))
     above = Window.partitionBy("src").orderBy(F.desc("c"))
 
     def step(state: DataFrame, _: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Micro-graphs with known answers."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from shardloom.operators import cohesion, prepare, rank, stats, traversal
+from shardloom.operators import cohesion, fixpoint, prepare, rank, stats, traversal
 from shardloom.plans import bsp
 
 PATH5 = ([(0, 1), (1, 2), (2, 3), (3, 4)], {0: 0, 1: 0, 2: 1, 3: 2, 4: 2})
@@ -53,6 +55,24 @@ def test_triangles_and_cores(spark):
     assert cohesion.kcore_subgraph(bowtie, 2).count() == 12
 
 
+def test_small_components_are_peeled_without_rounds(spark, monkeypatch):
+    # a tail falls by one vertex a round; the clique has parallel arcs, an arc one way only and a loop
+    arcs = [(a, a + 1) for a in range(20)] + [(a, b) for a in range(30, 35) for b in range(a, 35)] + [(30, 31), (31, 40), (50, 51)]
+    g = graph(spark, (arcs, {v: v % 2 for v in {x for a in arcs for x in a} | {60}}), both=False)
+    expected = pairs(cohesion.kcore(g, arcs_per_task=0), "vid", "core")
+    assert dict(expected)[0] == 1 and dict(expected)[32] == 4 and dict(expected)[60] == 0
+    assert pairs(cohesion.kcore(g, arcs_per_task=21), "vid", "core") == expected
+    monkeypatch.setattr(cohesion, "fixpoint", None)
+    assert pairs(cohesion.kcore(g), "vid", "core") == expected
+
+
+def test_a_key_is_not_divided():
+    keys = np.array([1, 1, 2, 2, 2, 2, 3])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[x : x + 2])], ["key"]) for x in range(0, 7, 2)]
+    assert [k.tolist() for (k,) in fixpoint.whole(iter(batches), 3)] == [[1, 1, 2, 2, 2, 2], [3]]
+    assert [k.tolist() for (k,) in fixpoint.whole(iter(batches), 2)] == [[1, 1], [2, 2, 2, 2], [3]]
+
+
 def test_islands(spark):
     g = graph(spark, ISLANDS)
     assert pairs(stats.connected_components(g), "vid", "component") == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
