@@ -71,7 +71,8 @@ def assign_clusters(g: PropertyGraph, centres: DataFrame) -> DataFrame:
 def edge_cut(g: PropertyGraph, clusters: DataFrame) -> DataFrame:
     """Number of arcs whose ends are in different clusters."""
     a, b = (clusters.select(F.col("vid").alias(c), F.col("cluster").alias(f"c_{c}")) for c in ("src", "dst"))
-    return g.arcs.select("src", "dst").join(a, "src").join(b, "dst").agg(F.count_if(F.col("c_src") != F.col("c_dst")).alias("edge_cut"))
+    # cut, or the joins send the clusters of all vertices, if Spark takes them for small
+    return cut(g.arcs.select("src", "dst").join(a, "src").join(b, "dst").agg(F.count_if(F.col("c_src") != F.col("c_dst")).alias("edge_cut")), "edge-cut")
 
 
 def pick_centres(g: PropertyGraph, k: int, seed: int, attempt: int) -> DataFrame:

@@ -83,6 +83,13 @@ def test_islands(spark):
     assert size == traversal.edge_cut(g, clusters).first().edge_cut and 1 <= attempts <= 3
 
 
+def test_the_edge_cut_leaves_no_join_that_sends_all_clusters(spark):
+    g = graph(spark, ISLANDS)
+    cut = traversal.edge_cut(g, spark.createDataFrame([(v, v % 2) for v in range(5)], "vid long, cluster int"))
+    assert "Join" not in cut._jdf.queryExecution().toString()
+    assert cut.first().edge_cut == 4
+
+
 def test_directed_rank_loses_weight(spark):
     g = graph(spark, ([(0, 1), (1, 2)], {0: 0, 1: 1, 2: 2}), both=False)
     got = dict(pairs(rank.pagerank(g, tol=None, max_iter=1), "vid", "rank"))
